@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import json
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 from weft.llm.common import arrow_map, table
 
 #: Pieces that a worker remembers; beyond that it starts anew, so memory is bounded.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
+#: Pieces to a call of the library, whose results are large.
+CALL = 4096
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -101,6 +104,7 @@ class Codec:
         self.careful, self.rare = regex.compile(careful[0], regex.V1).findall, regex.compile(f"[{careful[1]}-\U0010ffff]").search
         self.known: dict[str, tuple[int, ...]] = {}
         self.table = np.frombuffer(b"".join(tokens), np.uint8)
+        self.numbers = list(range(len(tokens)))  # one object for each id
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
 
@@ -112,7 +116,9 @@ class Codec:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         if new := list({p for some in pieces for p in some if p not in self.known}):
-            self.known.update((p, tuple(e.ids)) for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True))
+            for start in range(0, len(new), CALL):
+                some = new[start : start + CALL]
+                self.known.update((p, tuple(map(self.numbers.__getitem__, e.ids))) for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True))
         known = self.known
         return [np.fromiter((i for p in some for i in known[p]), np.int32) for some in pieces]
 
@@ -137,6 +143,7 @@ _codecs: dict[tuple, Codec] = {}
 def _codec(key: tuple, shared) -> Codec:
     """One codec for a worker process, whatever the number of its tasks."""
     if key not in _codecs:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
         _codecs[key] = Codec(*shared.value)
     return _codecs[key]
 
@@ -173,7 +180,7 @@ def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = False, deco
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", starts array<int>, ends array<int>" * offsets + ", decoded binary" * decoded
     names = [x.strip().split(" ")[0] for x in schema.split(", ")]
-    return arrow_map(docs.select("doc_id", "text"), make, schema)
+    return arrow_map(docs.select("doc_id", "text"), make, schema, most=1 << 20)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
