@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from weft.llm import bpe, exact_dedup
+from weft.llm import bpe, chat, exact_dedup, sharding, token_counts
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op2_byte_bpe": bpe.query,
+    "op6_sharding": sharding.query,
+    "op7_chat": chat.query,
+    "op10_token_counts": token_counts.query,
 }
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op7_chat": chat.ORACLE_SQL,
 }
