@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from weft.llm import bpe, chat, exact_dedup, sharding, token_counts
+from weft.llm import bpe, chat, exact_dedup, language, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op2_byte_bpe": bpe.query,
     "op6_sharding": sharding.query,
     "op7_chat": chat.query,
+    "op8_language": language.query,
+    "op9_toxicity": toxicity.query,
     "op10_token_counts": token_counts.query,
 }
 
