@@ -89,7 +89,7 @@ class Model:
 
         def scores(table: dict, index: dict, extra: int) -> np.ndarray:
             """Log shares within each language; `extra` rows for what isn't known."""
-            all_of = np.array([table[x] for x in index]).reshape(-1, len(languages))
+            all_of = np.array([table[x] for x in index]).reshape(len(index), len(languages))
             total = sum(table.values(), np.zeros(len(languages)))
             smooth = np.concatenate([all_of, np.zeros((extra, len(languages)))]) + 0.1
             return np.log(smooth / (total + 0.1 * (len(index) + 1))).astype(np.float32)
