@@ -99,8 +99,8 @@ class Model:
 
     def score(self, words: list[str]) -> np.ndarray:
         """A row of log scores for each word, the best language at 0."""
-        if not words:
-            return np.zeros((0, len(self.languages)), np.float32)
+        if not words or not self.languages:
+            return np.zeros((len(words), len(self.languages)), np.float32)
         get, unknown, ids, edges = self.trigrams.get, len(self.trigrams), [], [0]
         for word in words:
             padded = f" {word} "
