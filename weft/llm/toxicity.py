@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from weft.llm.common import arrow_map, table
 
 #: Labelled rows of each class that a fit takes, on average (a hash of the id chooses them).
-TRAIN_ROWS = 1500
+TRAIN_ROWS = 1000
 #: Words to a window, and from one window to the next.
 WINDOW, STRIDE = 32, 24
 HIDDEN, EMBEDDING, ATTENTION = 8, 4, 8
@@ -30,6 +30,8 @@ EPOCHS, BATCH, RATE = 8, 128, 0.01
 SUPPORT = 4
 #: Words whose inputs a worker remembers; beyond that it starts anew.
 REMEMBERED = 150_000
+#: Words whose n-grams are looked up at a time.
+CALL = 8192
 #: Windows that are scored in step.
 LANES = 4096
 
@@ -40,6 +42,11 @@ def split_words(texts: pa.Array) -> pa.ListArray:
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Slots of the n-grams (3 to 7 bytes, the ends marked) of all words, and the word of each; a word has at least one."""
+    found = [_grams(words[i : i + CALL], i) for i in range(0, len(words), CALL)]
+    return np.concatenate([np.zeros(0, np.uint16), *(s for s, _ in found)]), np.concatenate([np.zeros(0, np.int32), *(o for _, o in found)])
+
+
+def _grams(words: list[str], base: int) -> tuple[np.ndarray, np.ndarray]:
     parts = [f"^{w}$".encode() for w in words]
     data = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
     sizes = np.array([len(x) for x in parts])
@@ -53,9 +60,9 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             mixed = (code[at] ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
             slots.append((mixed ^ (mixed >> np.uint32(15))) % np.uint32(GRAMS))
             of.append(word[at])
-    slot, of = np.concatenate(slots).astype(np.int64), np.concatenate(of)
+    slot, of = np.concatenate(slots).astype(np.uint16), np.concatenate(of).astype(np.int32)
     order = np.argsort(of, kind="stable")
-    return slot[order], of[order]
+    return slot[order], of[order] + np.int32(base)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -88,13 +95,17 @@ class Network:
         """Inputs of distinct words; also their vocabulary rows, the slots of their n-grams and the slots' words."""
         row = np.array([self.vocabulary.get(w, len(self.vocabulary)) for w in words], np.int64)
         slot, of = grams(words)
-        edges = np.searchsorted(of, np.arange(len(words)))
-        n = np.bincount(of, minlength=len(words)).astype(np.float32)[:, None]
-        evidence = self.gram_evidence[slot]
-        x = np.concatenate(
-            [self.word_evidence[row][:, None], np.maximum.reduceat(evidence, edges)[:, None], np.add.reduceat(evidence, edges)[:, None] / n, self.p["words"][row], np.add.reduceat(self.p["grams"][slot], edges, axis=0) / n], axis=1
-        )
-        return x.astype(np.float32), row, slot, of
+        n = np.bincount(of, minlength=len(words)).astype(np.float32)
+        x = np.empty((len(words), 3 + 2 * EMBEDDING), np.float32)
+        for i in range(0, len(words), CALL):
+            some = slice(i, min(len(words), i + CALL))
+            a, b = np.searchsorted(of, [some.start, some.stop])
+            edges, part = np.searchsorted(of[a:b], np.arange(some.start, some.stop)), slot[a:b]
+            evidence = self.gram_evidence[part]
+            x[some, 0], x[some, 1], x[some, 2] = self.word_evidence[row[some]], np.maximum.reduceat(evidence, edges), np.add.reduceat(evidence, edges) / n[some]
+            x[some, 3 : 3 + EMBEDDING] = self.p["words"][row[some]]
+            x[some, 3 + EMBEDDING :] = np.add.reduceat(self.p["grams"][part], edges, axis=0) / n[some, None]
+        return x, row, slot, of
 
     # The network over windows: inputs (lane, time, 3 HIDDEN) of each way, and a mask (lane, time)
 
@@ -227,25 +238,26 @@ def evidence(docs: list[np.ndarray], labels: np.ndarray, keys: int) -> np.ndarra
 def train(texts: list[str], labels: list[int], prior: float | None = None) -> Network:
     """The network for labelled texts; one class alone, or none, gives a constant score. prior: the share of label 1 where the sample's differs."""
     y = np.array(labels, np.int64)
-    split = [[w for w in words if w] for words in split_words(pa.array([t or "" for t in texts], pa.string())).to_pylist()]
-    distinct = [set(words) for words in split]
-    seen: dict[str, int] = {}
-    for words in distinct:
-        for w in words:
-            seen[w] = seen.get(w, 0) + 1
-    vocabulary = {w: i for i, w in enumerate(sorted((w for w, n in seen.items() if n >= SUPPORT), key=lambda w: (-seen[w], w))[:WORDS])}
-    names = {w: i for i, w in enumerate(seen)}
-    slot, of = grams(list(seen)) if seen else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    edges = np.searchsorted(of, np.arange(len(names) + 1))
-    slot_docs = [np.unique(np.concatenate([slot[edges[names[w]] : edges[names[w] + 1]] for w in words])) if words else slot[:0] for words in distinct]
-    word_docs = [np.array([vocabulary[w] for w in words if w in vocabulary], np.int64) for words in distinct]
-    network = Network(vocabulary, evidence(word_docs, y, len(vocabulary)), evidence(slot_docs, y, GRAMS)[:GRAMS])
+    array = pa.array([t or "" for t in texts], pa.string())
+    split = split_words(array)
+    coded = split.flatten().dictionary_encode()
+    seen, edges = coded.dictionary.to_pylist(), split.offsets.to_numpy()
+    distinct = [np.unique(coded.indices.to_numpy()[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    present = np.bincount(np.concatenate([np.zeros(0, np.int64), *distinct]), minlength=len(seen))
+    usual = sorted((i for i, w in enumerate(seen) if w and present[i] >= SUPPORT), key=lambda i: (-present[i], seen[i]))[:WORDS]
+    vocabulary = {seen[i]: k for k, i in enumerate(usual)}
+    number = np.full(len(seen), -1)
+    number[usual] = np.arange(len(usual))
+    slot, of = grams(seen)
+    starts = np.searchsorted(of, np.arange(len(seen) + 1))
+    slot_docs = [np.unique(np.concatenate([np.zeros(0, np.uint16), *(slot[starts[w] : starts[w + 1]] for w in words)])).astype(np.int64) for words in distinct]
+    network = Network(vocabulary, evidence([k[k >= 0] for k in (number[words] for words in distinct)], y, len(vocabulary)), evidence(slot_docs, y, GRAMS)[:GRAMS])
+    del slot, of, slot_docs, distinct, coded
     network.word_evidence[-1] = 0
     if len(set(labels)) < 2:
         network.p["w"][:], network.p["b"][0] = 0, (4.0 if labels and labels[0] else -4.0)
         return network
     rng, moments, step = np.random.default_rng(3), {}, 0
-    array = pa.array([t or "" for t in texts], pa.string())
     rate = {1: 0.5 / max(1, (y == 1).sum()), 0: 0.5 / max(1, (y == 0).sum())}
     scorer = Scorer(network, len(seen))
     rows, text, first, size = scorer.windows(array)
