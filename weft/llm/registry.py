@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from weft.llm import bpe, chat, exact_dedup, language, near_dedup, sharding, token_counts, toxicity
+from weft.llm import bpe, chat, decontaminate, exact_dedup, language, near_dedup, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op2_byte_bpe": bpe.query,
+    "op3_decontaminate": decontaminate.query,
     "op5_near_dedup": near_dedup.query,
     "op6_sharding": sharding.query,
     "op7_chat": chat.query,
@@ -17,5 +18,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op3_decontaminate": decontaminate.ORACLE_SQL,
     "op7_chat": chat.ORACLE_SQL,
 }
