@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,12 +20,17 @@ def cut(df: DataFrame) -> DataFrame:
     """The frame with its lineage cut by a reliable checkpoint in the shared folder.
 
     The folder is the session's spark.checkpoint.dir; only where that is unset
-    (tests, a laptop) one temporary folder is made.
+    (tests, a laptop) one temporary folder is made. The optimizer's estimates
+    are dropped too: a checkpoint keeps those of the plan it came from, and over
+    the rounds of an iteration they multiply without bound. Adaptive execution
+    goes by the sizes it measures.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and not context.getCheckpointDir():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="weft-checkpoint-"))
-    return df.checkpoint()
+    kept = df.checkpoint()._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
 def numbered(docs: DataFrame, *columns: str | Column) -> DataFrame:

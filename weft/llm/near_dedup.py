@@ -10,7 +10,8 @@ shingles (those in two documents or more) weigh less than the threshold's part
 of it can't have a partner and draws no samples; and a band's bucket is never
 expanded into pairs. There, every member is compared with one pivot. Members
 that this leaves outside the pivot's class become pivots in the next rounds,
-until none is left, so no pair of members of two classes goes uncompared.
+PIVOTS times as many in each, until none is left, so no pair of members of two
+classes goes uncompared.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from weft.llm.buckets import ANSWERS, LISTS, Layout, answered, bucketed, lists, split_keys, totals
 from weft.llm.common import cut, table
@@ -28,6 +30,7 @@ WORDS = 5
 THRESHOLD = 0.8
 #: A pair at the threshold shares no band with a chance of (1 - 0.8 ** 3) ** 14 = 4e-5.
 BANDS, ROWS = 14, 3
+PIVOTS = 4
 #: Bytes of a shingle's fingerprint in the comparison of two texts.
 PRINT = 5
 
@@ -224,7 +227,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     shingled = samples.select("node", "prints", "weights")
     side = lambda of: shingled.select(F.col("node").alias(of), F.col("prints").alias(f"{of}_prints"), F.col("weights").alias(f"{of}_weights"))
-    spark, labels, links, done, compared = docs.sparkSession, None, None, None, None
+    spark, labels, links, done, compared, most = docs.sparkSession, None, None, None, None, 1
     while True:
         if labels is None:
             pivots = members.groupBy("bucket").agg(F.min(F.struct("node", "weight", F.col("node").alias("label"))).alias("pivot"))
@@ -233,7 +236,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             now = members.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
             heads = now.groupBy("bucket").agg(F.min(F.struct("node", "label")).alias("head"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket", F.col("head.label").alias("main"))
             now = now.join(heads, "bucket")
-            pivots = now.where("label <> main").join(done, ["bucket", "node"], "left_anti").groupBy("bucket").agg(F.min(F.struct("node", "weight", "label")).alias("pivot"))
+            most *= PIVOTS
+            waiting = now.where("label <> main").join(done, ["bucket", "node"], "left_anti").withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("node")))
+            pivots = waiting.where(F.col("rank") <= most).select("bucket", F.struct("node", "weight", "label").alias("pivot"))
         pivots = cut(pivots)
         if pivots.isEmpty():
             break
