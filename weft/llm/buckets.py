@@ -69,7 +69,7 @@ def split_keys(keys: np.ndarray, layout: Layout) -> tuple[np.ndarray, np.ndarray
 def lists(bucket: int, part: np.ndarray, rest: np.ndarray, counts: np.ndarray) -> pa.Table:
     """The bucket's list for each key partition: rows (part, bucket, keys, counts)."""
     edges = np.flatnonzero(np.diff(part, prepend=-1))
-    ends = np.append(edges[1:], len(part))
+    ends = np.append(edges[1:], len(part))[: len(edges)]
     return pa.table(
         {
             "part": pa.array(part[edges], pa.int32()),
