@@ -16,19 +16,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only where that is unset (tests, a laptop) one temporary folder is made."""
+    context = spark.sparkContext
+    if folder := context.getConf().get("spark.checkpoint.dir"):
+        return folder
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="weft-checkpoint-"))
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The frame with its lineage cut by a reliable checkpoint in the shared folder.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset
-    (tests, a laptop) one temporary folder is made. The optimizer's estimates
-    are dropped too: a checkpoint keeps those of the plan it came from, and over
-    the rounds of an iteration they multiply without bound. Adaptive execution
-    goes by the sizes it measures.
+    The optimizer's estimates are dropped too: a checkpoint keeps those of the
+    plan it came from, and over the rounds of an iteration they multiply without
+    bound. Adaptive execution goes by the sizes it measures.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="weft-checkpoint-"))
+    shared_folder(spark)
     kept = df.checkpoint()._jdf
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 

@@ -34,6 +34,9 @@ PIVOTS = 4
 #: Bytes of a shingle's fingerprint in the comparison of two texts.
 PRINT = 5
 
+#: The row number while a stage's rows are chosen.
+ROW = "_weft_row"
+
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -268,3 +271,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class, with all the columns of docs."""
+    kept = classes(docs).where("kept").select(F.col("rid").alias("of"))
+    return docs.withColumn(ROW, F.monotonically_increasing_id()).join(kept, F.col(ROW) == F.col("of"), "left_semi").select(*docs.columns)

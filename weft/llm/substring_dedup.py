@@ -177,8 +177,6 @@ def _phrases(layout: Layout, deals: int):
         start = np.repeat(parse.first[wide] - (np.cumsum(count) - count), count) + np.arange(count.sum())
         one, two = (rolling(parse.data, LENGTH, k)[start] if len(start) else np.zeros(0, np.uint64) for k in range(2))
         start = start - parse.edges[text]
-        _, kept = np.unique(np.stack([one, two], axis=1), axis=0, return_index=True) if len(text) else (None, np.zeros(0, np.int64))
-        one, two, text, start = one[kept], two[kept], text[kept], start[kept]
         send((one % np.uint64(deals)).astype(np.int64), one, text, start, np.zeros(len(text), np.int64), np.zeros(len(text), np.int64), lambda at: two[at].tobytes(), True)
         return pa.table({name: pa.array(values, kind) for (name, values), kind in zip(rows.items(), (pa.int32(), pa.int32(), *[pa.binary()] * 8, pa.bool_()), strict=True)})
 
