@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from weft.llm import bpe, chat, decontaminate, exact_dedup, language, near_dedup, sharding, token_counts, toxicity
+from weft.llm import bpe, chat, decontaminate, exact_dedup, language, near_dedup, sharding, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op2_byte_bpe": bpe.query,
     "op3_decontaminate": decontaminate.query,
+    "op4_substring_dedup": substring_dedup.query,
     "op5_near_dedup": near_dedup.query,
     "op6_sharding": sharding.query,
     "op7_chat": chat.query,
