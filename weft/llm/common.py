@@ -39,6 +39,16 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
+#: Rows to a partition of a settled frame.
+SETTLED_ROWS = 20_000
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """cut(), in as many partitions as the rows ask for: the small frames of an iteration would else cost a file for each pair of partitions in every shuffle."""
+    kept = cut(df)
+    return kept.coalesce(max(1, -(-kept.count() // SETTLED_ROWS)))
+
+
 def numbered(docs: DataFrame, *columns: str | Column) -> DataFrame:
     """The chosen columns and `rid`, a number of the row, for tables whose ids are null or repeat."""
     return docs.select(*columns, F.monotonically_increasing_id().alias("rid"))

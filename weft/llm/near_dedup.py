@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weft.llm.buckets import ANSWERS, LISTS, Layout, answered, bucketed, lists, split_keys, totals
-from weft.llm.common import cut, table
+from weft.llm.common import cut, settle, table
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -193,13 +193,13 @@ def _compare(batches):
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component of links (a, b). Each round takes the least label around and then that node's label, so long chains halve."""
-    edges = cut(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    edges = settle(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
+    labels = settle(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         around = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         nearer = labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = nearer.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        nearer = cut(nearer.join(jump, "label", "left").select("node", "old", F.least("label", "further").alias("label")))
+        nearer = settle(nearer.join(jump, "label", "left").select("node", "old", F.least("label", "further").alias("label")))
         labels = nearer.select("node", "label")
         if nearer.where(F.col("old") != F.col("label")).isEmpty():
             return labels
@@ -226,7 +226,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     samples = cut(nodes.join(nodes_of, ["alike", "rid"], "left_semi").select(F.col("rid").alias("node"), "weight", "prints", "weights", "bands"))
     members = samples.select("node", "weight", F.posexplode("bands").alias("band", "key")).select("node", "weight", F.xxhash64("band", "key").alias("bucket"))
     full = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = cut(members.join(full, "bucket"))
+    members = settle(members.join(full, "bucket"))
 
     shingled = samples.select("node", "prints", "weights")
     side = lambda of: shingled.select(F.col("node").alias(of), F.col("prints").alias(f"{of}_prints"), F.col("weights").alias(f"{of}_weights"))
@@ -242,7 +242,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             most *= PIVOTS
             waiting = now.where("label <> main").join(done, ["bucket", "node"], "left_anti").withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("node")))
             pivots = waiting.where(F.col("rank") <= most).select("bucket", F.struct("node", "weight", "label").alias("pivot"))
-        pivots = cut(pivots)
+        pivots = settle(pivots)
         if pivots.isEmpty():
             break
         least = F.least("weight", "pivot.weight") >= (threshold - 1e-6) * F.greatest("weight", "pivot.weight")
@@ -251,8 +251,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         seen = pivots.select("bucket", F.col("pivot.node").alias("node"))
-        done = cut(seen if done is None else done.union(seen))
-        result = cut(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_prints", "a_weights", "b_prints", "b_weights").mapInArrow(_compare, "a long, b long, similarity double"))
+        done = settle(seen if done is None else done.union(seen))
+        result = settle(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_prints", "a_weights", "b_prints", "b_weights").mapInArrow(_compare, "a long, b long, similarity double"))
         compared = result.select("a", "b") if compared is None else compared.union(result.select("a", "b"))
         found = result.where(F.col("similarity") >= threshold - 1e-9)
         links = found if links is None else links.union(found)

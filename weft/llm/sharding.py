@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from weft.llm.common import cut, numbered, table
+from weft.llm.common import cut, numbered, settle, table
 
 ROUNDS = 4
 #: Documents to a chunk of the slot count.
@@ -37,7 +37,7 @@ def propagate(cells: DataFrame, shards: int, capacity: int, rounds: int = ROUNDS
     """Cells (g, shard, n) after the rounds: members move to the shard that holds most of their group, within the quotas."""
     for step in range(rounds):
         best = cells.groupBy("g").agg(F.max(F.struct("n", F.xxhash64("g", "shard", F.lit(step)).alias("tie"), F.col("shard").alias("to"))).alias("best"))
-        wish = cut(cells.join(best, "g").select("g", "shard", "n", F.col("best.to").alias("to")))
+        wish = settle(cells.join(best, "g").select("g", "shard", "n", F.col("best.to").alias("to")))
         tally = {(r["shard"], r["stays"]): r["n"] for r in wish.groupBy(F.col("to").alias("shard"), (F.col("shard") == F.col("to")).alias("stays")).agg(F.sum("n").alias("n")).collect()}  # two rows a shard
         if not any(n for (_, stays), n in tally.items() if not stays):
             return cells
@@ -68,7 +68,7 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS) -> DataFrame:
     start = F.pmod(F.xxhash64("u"), F.lit(shards)).cast("int")
     linked = rows.groupBy("g", start.alias("shard")).agg(F.count("*").alias("n"))
     many = linked.groupBy("g").agg(F.sum("n").alias("all")).where("all > 1").select("g")
-    cells = propagate(cut(linked.join(many, "g")), shards, -(-total // shards), rounds)
+    cells = propagate(settle(linked.join(many, "g")), shards, -(-total // shards), rounds)
 
     # A group's shards as an array of upper bounds: a member's hash says which of them it goes to.
     spread = cells.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("parts"), F.sum("n").alias("all"))  # as many parts as shards at most
