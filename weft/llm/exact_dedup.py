@@ -30,8 +30,8 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
-def exact_groups(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """One row per input row: rid, doc_id, the columns of `keep`, text_sha256, keep_id, group_size and kept.
+def exact_groups(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept and text_sha256; with `whole` also `row`, the input row.
 
     Of rows with equal normalised texts the one with the smallest doc_id stays;
     rows without an id come last, and of rows that tie on the id (repeated
@@ -39,8 +39,7 @@ def exact_groups(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     gives an empty result; other columns of the input play no part, whatever
     their names.
     """
-    carried = [c for c in keep or [] if c != "doc_id"]
-    row = F.struct("doc_id", *carried).alias("row")
+    row = F.struct(*(docs.columns if whole else ["doc_id"])).alias("row")
     text = normalised(F.col("text"))
     rows = numbered(docs, row, text.cast("binary").alias("rest")).select(
         "rid", "row", F.sha2("rest", 256).alias("text_sha256"), F.octet_length("rest").alias("size"), F.lit(-1).cast("long").alias("group"), "rest"
@@ -64,11 +63,11 @@ def exact_groups(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     result = closed[0]
     for more in closed[1:]:
         result = result.unionByName(more)
-    return result.select("rid", "row.*", "keep_id", "group_size", (F.col("rid") == F.col("group")).alias("kept"), "text_sha256")
+    return result.select("row.doc_id", "keep_id", "group_size", (F.col("rid") == F.col("group")).alias("kept"), "text_sha256", *["row"] * whole)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(table(spark, sf_dir, "documents")).drop("rid")
+    return exact_groups(table(spark, sf_dir, "documents"))
 
 
 ORACLE_SQL = r"""
@@ -81,4 +80,4 @@ WINDOW g AS (PARTITION BY t)
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that stay, with all the columns of docs."""
-    return exact_groups(docs, docs.columns).where("kept").select(*docs.columns)
+    return exact_groups(docs, whole=True).where("kept").select("row.*")
