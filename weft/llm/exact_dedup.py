@@ -50,6 +50,8 @@ def exact_groups(docs: DataFrame, whole: bool = False) -> DataFrame:
         groups = keyed.groupBy("group", "size", "digit").agg(
             F.count("*").alias("group_size"), F.min(F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id").alias("doc_id"), F.col("rid").alias("rid"))).alias("first")
         )
+        # Cut, so that the join has a shuffle of its own on either side: only then are its large partitions split.
+        groups = cut(groups)
         ended = (F.col("group_size") == 1) | (F.octet_length("rest") <= width)
         split = keyed.join(groups, ["group", "size", "digit"]).select(
             "rid", "row", "text_sha256", "size", F.col("first.rid").alias("group"), F.col("first.doc_id").alias("keep_id"), "group_size", F.when(~ended, F.expr(f"substring(rest, {width} + 1)") if width < DIGITS[-1] else None).alias("rest")
