@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.llm.common import arrow_map, table
 
@@ -240,15 +241,14 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 _labellers: dict[int, Labeller] = {}
 
 
-def identify(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
-    """doc_id (or the columns of `carry`), lang_pred, score and spans of every row and whole text.
+def identify(docs: DataFrame, model: Model, whole: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score and spans of every row and whole text; with `whole` also `row`, the input row.
 
     `und` with score 0 and no spans where the text is null or has no letter, or
     the model knows no language. The score is the share of the text's letters
     in spans of lang_pred. Rows stay as they are, repeated ones too; other
     columns are ignored.
     """
-    carry = carry or ["doc_id"]
     key = abs(hash((tuple(model.languages), len(model.words), model.word_scores.tobytes())))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MODEL_WORDS and MODEL_TRIGRAMS
 
@@ -259,18 +259,19 @@ def identify(docs: DataFrame, model: Model, carry: list[str] | None = None) -> D
         labeller = _labellers[key]
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), *labeller.label(batch.column(len(carry)))], [*names, "lang_pred", "score", "spans"])
+            return pa.RecordBatch.from_arrays([batch.column(c) for c in carried] + labeller.label(batch.column("text")), [*carried, "lang_pred", "score", "spans"])
 
         return work
 
-    names = [f"carry{i}" for i in range(len(carry))]
-    chosen = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)], F.col("text").alias("input"))
-    schema = ", ".join(f"{n} {chosen.schema[n].dataType.simpleString()}" for n in names) + ", lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"
-    return arrow_map(chosen, make, schema, column="input").withColumnsRenamed(dict(zip(names, carry, strict=True)))
+    chosen = docs.select("doc_id", "text", *[F.struct(*docs.columns).alias("row")] * whole)
+    carried = ["doc_id", *["row"] * whole]
+    schema = T.StructType([chosen.schema[c] for c in carried]).simpleString()[len("struct<") : -1]
+    return arrow_map(chosen, make, f"{schema}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    """Whether a row is kept from training; rows without an id are not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,4 +283,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows with a language; those that have no letter go."""
     model = fit(docs.where(~held_out()))
-    return identify(docs, model, docs.columns).where(F.col("lang_pred") != "und").select(*docs.columns)
+    return identify(docs, model, whole=True).where(F.col("lang_pred") != "und").select("row.*")

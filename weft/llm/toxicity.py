@@ -351,7 +351,8 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    """Whether a row is kept from training; rows without an id are not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
