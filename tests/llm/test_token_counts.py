@@ -7,12 +7,12 @@ from weft.llm.token_counts import MARK, Trie, count, unigram
 PATH = P.path("piece_bpe_32k.model")
 
 
-def brute(scores, word):
+def brute(scores, word, unknown=None, longest=None):
     """The best segmentation without a trie: (score, tokens) by position."""
-    unknown, longest = min(scores.values()) - 10.0, max(map(len, scores))
+    unknown, longest = unknown or min(scores.values()) - 10.0, longest or max(map(len, scores))
     best = [(0.0, 0)]
     for end in range(1, len(word) + 1):
-        found = [(best[s][0] + scores[word[s:end]], -(-best[s][1] + 0) + 1) for s in range(max(0, end - longest), end) if word[s:end] in scores]
+        found = [(best[s][0] + scores[word[s:end]], best[s][1] + 1) for s in range(max(0, end - longest), end) if word[s:end] in scores]
         if word[end - 1] not in scores:
             found.append((best[end - 1][0] + unknown, best[end - 1][1] + len(word[end - 1].encode())))
         best.append(max(found, key=lambda x: (x[0], -x[1])))
@@ -38,8 +38,10 @@ def test_against_the_library(small):
 
 def test_whole_table(odd, small, empty):
     scores = unigram(PATH)
-    known: dict[str, int] = {}
+    unknown, longest = min(scores.values()) - 10.0, max(map(len, scores))
     for docs in (odd, small):
-        want = sorted((str(r["doc_id"]), sum(known.setdefault(w, brute(scores, MARK + w)) for w in (r["text"] or "").split()), len((r["text"] or "").split())) for r in docs.collect())
+        rows = docs.collect()
+        known = {w: brute(scores, MARK + w, unknown, longest) for w in {w for r in rows for w in (r["text"] or "").split()}}
+        want = sorted((str(r["doc_id"]), sum(known[w] for w in (r["text"] or "").split()), len((r["text"] or "").split())) for r in rows)
         assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_pretokens"]) for r in count(docs, PATH).collect()) == want
     assert count(empty, PATH).count() == 0

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import arrow_map, table
+from weft.llm.common import arrow_map, hold, table
 
 #: Pieces that a worker remembers; beyond that it starts anew, so memory is bounded.
 REMEMBERED = 120_000
@@ -137,15 +137,10 @@ class Codec:
         return character[starts].astype(np.int32), (character[ends - 1] + 1).astype(np.int32)
 
 
-_codecs: dict[tuple, Codec] = {}
-
-
 def _codec(key: tuple, shared) -> Codec:
     """One codec for a worker process, whatever the number of its tasks."""
-    if key not in _codecs:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
-        _codecs[key] = Codec(*shared.value)
-    return _codecs[key]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
+    return hold(("bpe", *key), lambda: Codec(*shared.value))
 
 
 def _shared(spark: SparkSession, path: str, pattern: str):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -73,6 +75,29 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             yield batch.slice(start)
 
 
+_held: dict[object, object] = {}
+
+
+def hold(key: object, make: Callable[[], object]) -> object:
+    """What a worker process keeps between tasks. It is one thing: the next operator's takes the place of the last one's."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Lets go of what the worker holds, and gives freed memory back to the system, which the allocators don't by themselves."""
+    _held.clear()
+    trim()
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_map(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, column: str = "text", most: int = 4 << 20) -> DataFrame:
     """mapInArrow with bounded slices. make() runs once in a task and gives the function for a slice."""
 
@@ -80,5 +105,6 @@ def arrow_map(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
         work = make()
         for part in slices(batches, column, most):
             yield work(part)
+        trim()
 
     return docs.mapInArrow(run, schema)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.llm.common import arrow_map, table
+from weft.llm.common import arrow_map, hold, table
 
 # The main Unicode ranges of scripts.
 SCRIPTS = {
@@ -45,7 +45,7 @@ TRAIN_ROWS = 1000
 MODEL_WORDS = 40_000
 MODEL_TRIGRAMS = 60_000
 #: Words whose scores a worker remembers; beyond that it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Log score of a change of language between two words.
 SWITCH = 8.0
 #: The most that a single word can say against a language.
@@ -238,9 +238,6 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return Model.fit(sample.column("text").to_pylist(), sample.column("lang").to_pylist())
 
 
-_labellers: dict[int, Labeller] = {}
-
-
 def identify(docs: DataFrame, model: Model, whole: bool = False) -> DataFrame:
     """doc_id, lang_pred, score and spans of every row and whole text; with `whole` also `row`, the input row.
 
@@ -249,14 +246,11 @@ def identify(docs: DataFrame, model: Model, whole: bool = False) -> DataFrame:
     in spans of lang_pred. Rows stay as they are, repeated ones too; other
     columns are ignored.
     """
-    key = abs(hash((tuple(model.languages), len(model.words), model.word_scores.tobytes())))
+    key = ("language", hash((tuple(model.languages), len(model.words), model.word_scores.tobytes())))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MODEL_WORDS and MODEL_TRIGRAMS
 
     def make():
-        if key not in _labellers:
-            _labellers.clear()
-            _labellers[key] = Labeller(shared.value)
-        labeller = _labellers[key]
+        labeller = hold(key, lambda: Labeller(shared.value))
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([batch.column(c) for c in carried] + labeller.label(batch.column("text")), [*carried, "lang_pred", "score", "spans"])

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weft.llm.buckets import ANSWERS, LISTS, Layout, answered, bucketed, lists, split_keys, totals
-from weft.llm.common import cut, settle, table
+from weft.llm.common import cut, release, settle, table
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -129,6 +129,7 @@ def idf(documents: np.ndarray, rows: int) -> np.ndarray:
 
 def _lists(layout: Layout):
     def run(key, data):
+        release()
         value, text, _ = shingles(_text(data))
         _, distinct, _ = counted(value, text)
         return lists(key[0].as_py(), *split_keys(distinct, layout)[:3])
@@ -146,6 +147,7 @@ NODES = "rid long, alike long, weight double, prints binary, weights binary, ban
 def _nodes(layout: Layout):
     def run(key, data, answers):
         """A row for each document; of those with the same words in the bucket, and those that can have a partner, the first has samples."""
+        release()
         value, text, alike = shingles(_text(data))
         t, v, n = counted(value, text)
         documents = answered(answers)[split_keys(v, layout)[3]]

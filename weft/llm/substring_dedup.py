@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.buckets import ANSWERS, LISTS, Layout, answered, bucketed, lists, split_keys, totals
-from weft.llm.common import table
+from weft.llm.common import release, table
 
 LENGTH = 100
 KEY = 37
@@ -122,6 +122,7 @@ class Bucket:
     """The parse of a bucket: its texts in order, one after the other, and their phrases; places count from the first text."""
 
     def __init__(self, data: pa.Table) -> None:
+        release()
         ids = data.column("doc_id").combine_chunks().cast(pa.int64()).fill_null(LAST).to_numpy() if data.num_rows else np.zeros(0, np.int64)
         rids = data.column("rid").to_numpy()
         self.order = np.lexsort((rids, ids))

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm.common import arrow_map, table
+from weft.llm.common import arrow_map, hold, table
 
 MARK = "▁"
 #: How much worse than the rarest token a character outside the vocabulary is; it counts as its UTF-8 bytes.
@@ -77,9 +77,6 @@ class Trie:
         tokens.append(fewest)
 
 
-_tries: dict[str, Trie] = {}
-
-
 def count(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens long, n_pretokens long of every row and whole text.
 
@@ -89,7 +86,7 @@ def count(docs: DataFrame, path: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(unigram(path))  # a vocabulary: its size is fixed
 
     def make():
-        trie = _tries.setdefault(path, Trie(shared.value))
+        trie = hold(("trie", path), lambda: Trie(shared.value))
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             words = pc.utf8_split_whitespace(batch.column("text").fill_null(""))

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import arrow_map, table
+from weft.llm.common import arrow_map, hold, table
 
 #: Labelled rows of each class that a fit takes, on average (a hash of the id chooses them).
 TRAIN_ROWS = 1000
@@ -328,23 +328,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network:
     return train(sample.column("text").to_pylist(), sample.column("toxic").to_pylist(), held.get(1, 0) / sum(held.values()))
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def score(docs: DataFrame, network: Network) -> DataFrame:
     """doc_id and score of every row and whole text.
 
     A null text counts as empty; a text without words is one empty window. Rows
     stay as they are, repeated ones too; only doc_id and text are read.
     """
-    key = abs(hash(network.p["w"].tobytes() + network.p["b"].tobytes()))
+    key = ("toxicity", hash(network.p["w"].tobytes() + network.p["b"].tobytes()))
     shared = docs.sparkSession.sparkContext.broadcast(network)  # bounded by WORDS and GRAMS
 
     def make():
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(shared.value)
-        scorer = _scorers[key]
+        scorer = hold(key, lambda: Scorer(shared.value))
         return lambda batch: pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scorer.score(batch.column("text")).astype(np.float64))], ["doc_id", "score"])
 
     return arrow_map(docs.select("doc_id", "text"), make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
