@@ -1,24 +1,10 @@
-"""The registered queries of the relational engine, each with the SQL that DuckDB checks it by."""
+"""All registered queries of the relational engine."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from weft.functions import scalar, user
+from weft.operators import aggregate, combine, filters, join, window
+from weft.plans.catalog import ORACLE_SQL, QUERIES
+from weft.streaming import batch
 
-
-def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return (
-        lines.where(F.col("l_shipdate") <= F.lit("2000-09-02").cast("timestamp_ntz"))
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n_lines"))
-    )
-
-
-QUERIES = {"pricing_summary": pricing_summary}
-ORACLE_SQL = {
-    "pricing_summary": """
-SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty,
-       round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n_lines
-FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-09-02' GROUP BY ALL"""
-}
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregate", "batch", "combine", "filters", "join", "scalar", "user", "window"]
