@@ -18,7 +18,7 @@ def brute(rows, threshold=0.8):
         w = regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
         bags.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter([(text or "").strip()]))
     seen = Counter(s for b in bags for s in b)
-    idf = {s: 1 + log((1 + len(rows)) / (1 + n)) for s, n in seen.items()}
+    idf = {s: 1 + log((1 + len(rows)) / (1 + n)) / log(1 + len(rows)) for s, n in seen.items()}
     weight = [sum(n * idf[s] for s, n in b.items()) for b in bags]
     label = list(range(len(rows)))
 

@@ -123,8 +123,13 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def idf(documents: np.ndarray, rows: int) -> np.ndarray:
-    """1 for a shingle of all documents, more for rarer ones."""
-    return (1 + np.log((1 + rows) / (1 + documents.astype(np.float64)))).astype(np.float32)
+    """From 1 for a shingle of all documents to nearly 2 for one of a single document.
+
+    The logarithm is taken as a part of its largest value. Left as it is, it
+    would weigh the few words in which the copies of a large group differ
+    several times as much as those they share, and the group would fall apart.
+    """
+    return (1 + np.log((1 + rows) / (1 + documents.astype(np.float64))) / np.log(1 + max(1, rows))).astype(np.float32)
 
 
 def _lists(layout: Layout):
