@@ -63,3 +63,12 @@ def test_nulls_in_aggregates(spark):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_custom_source(spark):
+    from weft.sources.numbers import Numbers
+
+    spark.dataSource.register(Numbers)
+    df = spark.read.format("weft_numbers").options(start=5, end=200_005, partitions=3).load()
+    assert df.rdd.getNumPartitions() == 3 and df.agg(F.count("*"), F.min("n"), F.max("n"), F.countDistinct("n")).first()[:] == (200_000, 5, 200_004, 200_000)
+    assert spark.read.format("weft_numbers").load().count() == 0
