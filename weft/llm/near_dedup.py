@@ -8,10 +8,12 @@ decides. Classes are the connected components of the links.
 What keeps it linear: texts of the same words are one node; a text whose shared
 shingles (those in two documents or more) weigh less than the threshold's part
 of it can't have a partner and draws no samples; and a band's bucket is never
-expanded into pairs. There, every member is compared with one pivot. Members
-that this leaves outside the pivot's class become pivots in the next rounds,
-PIVOTS times as many in each, until none is left, so no pair of members of two
-classes goes uncompared.
+expanded into pairs. There, every member is compared with one pivot, the one
+that meets most others, as the original of a group of copies does. Members that
+this leaves outside the pivot's class become pivots in the next rounds, PIVOTS
+times as many in each, until none is left. Pairs of one class need no
+comparison, nor do pairs whose shared shingles weigh too little for the
+threshold, however they overlap; all other members of a bucket are compared.
 """
 
 from __future__ import annotations
@@ -24,13 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weft.llm.buckets import ANSWERS, LISTS, Layout, answered, bucketed, lists, split_keys, totals
-from weft.llm.common import cut, release, settle, table
+from weft.llm.common import cut, release, setting, settle, table, trim
 
 WORDS = 5
 THRESHOLD = 0.8
 #: A pair at the threshold shares no band with a chance of (1 - 0.8 ** 3) ** 14 = 4e-5.
 BANDS, ROWS = 14, 3
 PIVOTS = 4
+#: Pairs to an Arrow batch, as two texts' shingles may be long.
+PAIRS = 256
 #: Bytes of a shingle's fingerprint in the comparison of two texts.
 PRINT = 5
 
@@ -146,7 +150,7 @@ def _text(data: pa.Table) -> pa.Array:
     return data.column("text").combine_chunks() if data.num_rows else pa.array([], pa.string())
 
 
-NODES = "rid long, alike long, weight double, prints binary, weights binary, bands array<long>"
+NODES = "rid long, alike long, weight double, shared double, prints binary, weights binary, bands array<long>"
 
 
 def _nodes(layout: Layout):
@@ -175,7 +179,7 @@ def _nodes(layout: Layout):
         for i, row in enumerate(which):
             a, b = edges[i], edges[i + 1]
             blobs["prints"][row], blobs["weights"][row], blobs["bands"][row] = prints[a:b].tobytes(), w[a:b].tobytes(), keys[i].view(np.int64)
-        return pa.table({"rid": data.column("rid"), "alike": pa.array(alike.view(np.int64)), "weight": pa.array(total), "prints": pa.array(blobs["prints"], pa.binary()), "weights": pa.array(blobs["weights"], pa.binary()), "bands": pa.array(blobs["bands"], pa.list_(pa.int64()))})
+        return pa.table({"rid": data.column("rid"), "alike": pa.array(alike.view(np.int64)), "weight": pa.array(total), "shared": pa.array(shared), "prints": pa.array(blobs["prints"], pa.binary()), "weights": pa.array(blobs["weights"], pa.binary()), "bands": pa.array(blobs["bands"], pa.list_(pa.int64()))})
 
     return run
 
@@ -196,6 +200,7 @@ def _compare(batches):
                 last, held = a, read(columns[2][i].as_py(), columns[3][i].as_py())
             found.append(similarity(held, read(columns[4][i].as_py(), columns[5][i].as_py())))
         yield pa.RecordBatch.from_arrays([columns[0], columns[1], pa.array(found, pa.float64())], ["a", "b", "similarity"])
+    trim()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -230,36 +235,40 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # Copies by words are one node, named by the least rid among those with samples.
     named = nodes.where(F.col("bands").isNotNull()).groupBy("alike").agg(F.min("rid").alias("node"))
     nodes_of = named.withColumnRenamed("node", "rid")
-    samples = cut(nodes.join(nodes_of, ["alike", "rid"], "left_semi").select(F.col("rid").alias("node"), "weight", "prints", "weights", "bands"))
-    members = samples.select("node", "weight", F.posexplode("bands").alias("band", "key")).select("node", "weight", F.xxhash64("band", "key").alias("bucket"))
-    full = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    samples = cut(nodes.join(nodes_of, ["alike", "rid"], "left_semi").select(F.col("rid").alias("node"), "weight", "shared", "prints", "weights", "bands"))
+    members = samples.select("node", "weight", "shared", F.posexplode("bands").alias("band", "key")).select("node", "weight", "shared", F.xxhash64("band", "key").alias("bucket"))
+    full = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = settle(members.join(full, "bucket"))
+    meets = members.groupBy("node").agg((-F.sum("n")).alias("order"))
+    members = settle(members.drop("n").join(meets, "node"))
 
     shingled = samples.select("node", "prints", "weights")
     side = lambda of: shingled.select(F.col("node").alias(of), F.col("prints").alias(f"{of}_prints"), F.col("weights").alias(f"{of}_weights"))
     spark, labels, links, done, compared, most = docs.sparkSession, None, None, None, None, 1
     while True:
         if labels is None:
-            pivots = members.groupBy("bucket").agg(F.min(F.struct("node", "weight", F.col("node").alias("label"))).alias("pivot"))
+            pivots = members.groupBy("bucket").agg(F.min(F.struct("order", "node", "weight", "shared", F.col("node").alias("label"))).alias("pivot"))
             now = members.withColumn("label", F.col("node"))
         else:
             now = members.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-            heads = now.groupBy("bucket").agg(F.min(F.struct("node", "label")).alias("head"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket", F.col("head.label").alias("main"))
+            heads = now.groupBy("bucket").agg(F.min(F.struct("order", "node", "label")).alias("head"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket", F.col("head.label").alias("main"))
             now = now.join(heads, "bucket")
             most *= PIVOTS
-            waiting = now.where("label <> main").join(done, ["bucket", "node"], "left_anti").withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("node")))
-            pivots = waiting.where(F.col("rank") <= most).select("bucket", F.struct("node", "weight", "label").alias("pivot"))
+            waiting = now.where("label <> main").join(done, ["bucket", "node"], "left_anti").withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("order", "node")))
+            pivots = waiting.where(F.col("rank") <= most).select("bucket", F.struct("order", "node", "weight", "shared", "label").alias("pivot"))
         pivots = settle(pivots)
         if pivots.isEmpty():
             break
-        least = F.least("weight", "pivot.weight") >= (threshold - 1e-6) * F.greatest("weight", "pivot.weight")
+        # The shared shingles of the one that has less of them are the most that the two have in common.
+        least = (1 + threshold) * F.least("shared", "pivot.shared") >= (threshold - 1e-6) * (F.col("weight") + F.col("pivot.weight"))
         pairs = now.join(pivots, "bucket").where((F.col("node") != F.col("pivot.node")) & least & ((F.col("label") != F.col("pivot.label")) if labels is not None else F.lit(True)))
         pairs = pairs.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         seen = pivots.select("bucket", F.col("pivot.node").alias("node"))
         done = settle(seen if done is None else done.union(seen))
-        result = settle(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_prints", "a_weights", "b_prints", "b_weights").mapInArrow(_compare, "a long, b long, similarity double"))
+        with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(PAIRS)):
+            result = settle(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_prints", "a_weights", "b_prints", "b_weights").mapInArrow(_compare, "a long, b long, similarity double"))
         compared = result.select("a", "b") if compared is None else compared.union(result.select("a", "b"))
         found = result.where(F.col("similarity") >= threshold - 1e-9)
         links = found if links is None else links.union(found)
