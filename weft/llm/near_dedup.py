@@ -217,6 +217,21 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels (node, label) after more links (a, b): only links between different classes are followed."""
+    if labels is None:
+        return components(links)
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+    between = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    between = settle(between.where("a <> b").distinct())
+    if between.isEmpty():
+        return labels
+    moved = settle(components(between).select(F.col("node").alias("label"), F.col("label").alias("to")))
+    known = labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    fresh = moved.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("to").alias("label"))
+    return settle(known.union(fresh))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: rid, doc_id, class_id, class_rid, class_size, kept.
 
@@ -244,7 +259,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     shingled = samples.select("node", "prints", "weights")
     side = lambda of: shingled.select(F.col("node").alias(of), F.col("prints").alias(f"{of}_prints"), F.col("weights").alias(f"{of}_weights"))
-    spark, labels, links, done, compared, most = docs.sparkSession, None, None, None, None, 1
+    spark, labels, done, compared, most = docs.sparkSession, None, None, None, 1
     while True:
         if labels is None:
             pivots = members.groupBy("bucket").agg(F.min(F.struct("order", "node", "weight", "shared", F.col("node").alias("label"))).alias("pivot"))
@@ -270,9 +285,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(PAIRS)):
             result = settle(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_prints", "a_weights", "b_prints", "b_weights").mapInArrow(_compare, "a long, b long, similarity double"))
         compared = result.select("a", "b") if compared is None else compared.union(result.select("a", "b"))
-        found = result.where(F.col("similarity") >= threshold - 1e-9)
-        links = found if links is None else links.union(found)
-        labels = components(links)
+        labels = merge(labels, result.where(F.col("similarity") >= threshold - 1e-9))
     if labels is None:
         labels = spark.createDataFrame([], "node long, label long")
 
