@@ -251,7 +251,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     named = nodes.where(F.col("bands").isNotNull()).groupBy("alike").agg(F.min("rid").alias("node"))
     nodes_of = named.withColumnRenamed("node", "rid")
     samples = cut(nodes.join(nodes_of, ["alike", "rid"], "left_semi").select(F.col("rid").alias("node"), "weight", "shared", "prints", "weights", "bands"))
-    members = samples.select("node", "weight", "shared", F.posexplode("bands").alias("band", "key")).select("node", "weight", "shared", F.xxhash64("band", "key").alias("bucket"))
+    members = samples.select("node", "weight", "shared", "bands", F.posexplode("bands").alias("band", "key")).select("node", "weight", "shared", "bands", "band", F.xxhash64("band", "key").alias("bucket"))
     full = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = settle(members.join(full, "bucket"))
     meets = members.groupBy("node").agg((-F.sum("n")).alias("order"))
@@ -262,7 +262,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark, labels, done, compared, most = docs.sparkSession, None, None, None, 1
     while True:
         if labels is None:
-            pivots = members.groupBy("bucket").agg(F.min(F.struct("order", "node", "weight", "shared", F.col("node").alias("label"))).alias("pivot"))
+            pivots = members.groupBy("bucket").agg(F.min(F.struct("order", "node", "weight", "shared", "bands", F.col("node").alias("label"))).alias("pivot"))
             now = members.withColumn("label", F.col("node"))
         else:
             now = members.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -270,13 +270,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             now = now.join(heads, "bucket")
             most *= PIVOTS
             waiting = now.where("label <> main").join(done, ["bucket", "node"], "left_anti").withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("order", "node")))
-            pivots = waiting.where(F.col("rank") <= most).select("bucket", F.struct("order", "node", "weight", "shared", "label").alias("pivot"))
+            pivots = waiting.where(F.col("rank") <= most).select("bucket", F.struct("order", "node", "weight", "shared", "bands", "label").alias("pivot"))
         pivots = settle(pivots)
         if pivots.isEmpty():
             break
         # The shared shingles of the one that has less of them are the most that the two have in common.
         least = (1 + threshold) * F.least("shared", "pivot.shared") >= (threshold - 1e-6) * (F.col("weight") + F.col("pivot.weight"))
-        pairs = now.join(pivots, "bucket").where((F.col("node") != F.col("pivot.node")) & least & ((F.col("label") != F.col("pivot.label")) if labels is not None else F.lit(True)))
+        # A pair meets in the first band that it shares; there too its members are compared before the rounds end.
+        first = F.array_position(F.zip_with("bands", "pivot.bands", lambda a, b: a == b), True) == F.col("band") + 1
+        pairs = now.join(pivots, "bucket").where((F.col("node") != F.col("pivot.node")) & least & ((F.col("label") != F.col("pivot.label")) if labels is not None else F.lit(True)) & first)
         pairs = pairs.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
