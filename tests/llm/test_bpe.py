@@ -1,8 +1,9 @@
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
-from weft.llm.bpe import decode, digests, encode, read_ranks
+from weft.llm.bpe import decode, digests, encode, query, read_ranks
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -39,4 +40,21 @@ def test_offsets_cover_the_text(odd):
 def test_decode_round_trip(spark, odd, empty):
     tokens = encode(odd, PATH, P.PATTERN)
     assert sorted(bytes(r["decoded"]) for r in decode(tokens, PATH, P.PATTERN).collect()) == sorted((r["text"] or "").encode() for r in odd.collect())
-    assert digests(encode(empty, PATH, P.PATTERN, decoded=True)).count() == 0
+    assert digests(encode(empty, PATH, P.PATTERN, offsets=True, decoded=True)).count() == 0
+
+
+def test_query_offsets_hash(spark):
+    """The query's hash of offsets is that of offsets counted character by character."""
+    rows = query(spark, "/root/testdata/sf0.001").limit(20).collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    tokens = read_ranks(PATH)
+    coder = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    for r in rows:
+        character = [i for i, c in enumerate(texts[r["doc_id"]]) for _ in c.encode()]
+        starts, ends, at = [], [], 0
+        for i in coder.encode_ordinary(texts[r["doc_id"]]):
+            starts.append(character[at])
+            at += len(tokens[i])
+            ends.append(character[at - 1] + 1)
+        expected = spark.createDataFrame([(starts, ends)], "starts array<int>, ends array<int>").select(F.xxhash64("starts", "ends").alias("h")).first()["h"]
+        assert r["offsets_hash"] == expected

@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from weft.llm.common import arrow_map, hold, table
 
 #: Pieces that a worker remembers; beyond that it starts anew, so memory is bounded.
-REMEMBERED = 120_000
+REMEMBERED = 250_000
 #: Pieces to a call of the library, whose results are large.
-CALL = 4096
+CALL = 16_384
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -102,9 +102,8 @@ class Codec:
 
         self.tokenizer, self.plain = Tokenizer.from_str(model), regex.compile(pattern).findall
         self.careful, self.rare = regex.compile(careful[0], regex.V1).findall, regex.compile(f"[{careful[1]}-\U0010ffff]").search
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
         self.table = np.frombuffer(b"".join(tokens), np.uint8)
-        self.numbers = list(range(len(tokens)))  # one object for each id
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
 
@@ -115,12 +114,21 @@ class Codec:
         pieces = [self.cut(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        if new := list({p for some in pieces for p in some if p not in self.known}):
-            for start in range(0, len(new), CALL):
-                some = new[start : start + CALL]
-                self.known.update((p, tuple(map(self.numbers.__getitem__, e.ids))) for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True))
-        known = self.known
-        return [np.fromiter((i for p in some for i in known[p]), np.int32) for some in pieces]
+        new = list({p for some in pieces for p in some}.difference(self.known))
+        for start in range(0, len(new), CALL):
+            self._learn(new[start : start + CALL])
+        ids_of = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(ids_of, some)), np.int32) for some in pieces]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes the pieces in one call, each as a word of its own, and remembers their ids as bytes."""
+        done = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(done.ids, np.int32).tobytes()
+        ends = np.cumsum(np.bincount(np.array(done.word_ids, np.int64), minlength=len(pieces))) * 4
+        start = 0
+        for piece, end in zip(pieces, ends.tolist(), strict=True):
+            self.known[piece] = ids[start:end]
+            start = end
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids. A character may be split over tokens; the bytes are whole again once joined."""
@@ -193,8 +201,10 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def digests(encoded: DataFrame) -> DataFrame:
+    """The query's columns; offsets_hash is over both arrays of character offsets."""
+    shown = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return encoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(shown, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.xxhash64("starts", "ends").alias("offsets_hash")
     )
 
 
@@ -209,4 +219,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return digests(encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True))
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return digests(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, offsets=True, decoded=True))
