@@ -3,19 +3,20 @@ from itertools import combinations
 from math import log
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 
 from tests.llm.conftest import prose
-from weft.llm import buckets
-from weft.llm.near_dedup import components, classes, stage
+from weft.llm import buckets, near_dedup
+from weft.llm.near_dedup import classes, components, counted, shingles, stage
 
 
 def brute(rows, threshold=0.8):
     """The class, as the least row number, of each text."""
     bags = []
     for text in rows:
-        w = regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
+        w = regex.findall(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}&&[\p{L}\p{N}]]|[[\p{L}\p{N}]--[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]]+", (text or "").lower(), regex.V1)
         bags.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter([(text or "").strip()]))
     seen = Counter(s for b in bags for s in b)
     idf = {s: 1 + log((1 + len(rows)) / (1 + n)) / log(1 + len(rows)) for s, n in seen.items()}
@@ -82,3 +83,22 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 120), (101, 120), (101, 140)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys((100, 101, 120, 140), 100)}
+
+
+def test_scripts_without_spaces(spark):
+    """Each character is a word there, so a changed one leaves a near copy."""
+    text = "".join(chr(0x4E00 + (i * 7919) % 20000) for i in range(200))
+    other = "".join(chr(0x4E00 + (i * 104729 + 5) % 20000) for i in range(200))
+    docs = spark.createDataFrame([(1, text), (2, text[:99] + "\u3042" + text[100:]), (3, other), (4, "abc " + text)], "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in classes(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 1}
+
+
+def test_slices_change_nothing(monkeypatch):
+    texts = pa.array(["", "one two", prose(1, 300), "日本語" * 50 + " end", prose(2, 3000), "x" * 5000 + " y", "a"])
+    whole = shingles(texts)
+    monkeypatch.setattr(near_dedup, "SLICE", 500)
+    monkeypatch.setattr(near_dedup, "CHUNK", 64)
+    for a, b in zip(whole, shingles(texts), strict=True):
+        assert (a == b).all()
+    for a, b in zip(counted(*whole[:2]), counted(*shingles(texts)[:2]), strict=True):
+        assert (a == b).all()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import numbered
+from weft.llm.common import bounded_batches, numbered
 
 #: Bytes of text to a bucket, on average, and entries to a key partition.
 BUCKET_BYTES = 8 << 20
@@ -39,6 +39,7 @@ class Layout:
 
 def bucketed(docs: DataFrame, entries_per_byte: float) -> tuple[DataFrame, Layout]:
     """Rows (bucket, doc_id, rid, text), dealt by the hash of the row and shuffled once, and the layout that the bytes of the texts ask for. A null text is empty."""
+    bounded_batches(docs.sparkSession)
     rows = numbered(docs, "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -58,12 +59,23 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def split_keys(keys: np.ndarray, layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (partition, rest) of 64-bit keys in their order, how often each occurs, and which of them each key is."""
-    short = keys >> np.uint64(layout.shift)
-    part, rest = short % np.uint64(layout.partitions), short // np.uint64(layout.partitions)
-    joined = (part << np.uint64(64 - layout.partitions.bit_length())) | rest
-    distinct, inverse, counts = np.unique(joined, return_inverse=True, return_counts=True)
-    return (distinct >> np.uint64(64 - layout.partitions.bit_length())).astype(np.int64), distinct & np.uint64((1 << (64 - layout.partitions.bit_length())) - 1), counts, inverse
+    """Distinct (partition, rest) of 64-bit keys in their order, how often each occurs, and which of them each key is. Few arrays as long as the keys are held at a time."""
+    bits = np.uint64(64 - layout.partitions.bit_length())
+    joined = keys >> np.uint64(layout.shift)
+    part = joined % np.uint64(layout.partitions)
+    joined //= np.uint64(layout.partitions)
+    part <<= bits
+    joined |= part
+    del part
+    order = np.argsort(joined)
+    joined = joined[order]
+    new = np.concatenate([[True], joined[1:] != joined[:-1]])[: len(joined)]
+    inverse = np.empty(len(joined), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - 1
+    del order
+    first = np.flatnonzero(new)
+    distinct = joined[first]
+    return (distinct >> bits).astype(np.int64), distinct & ((np.uint64(1) << bits) - np.uint64(1)), np.diff(np.append(first, len(joined))), inverse
 
 
 def lists(bucket: int, part: np.ndarray, rest: np.ndarray, counts: np.ndarray) -> pa.Table:
@@ -94,6 +106,11 @@ def totals(table: pa.Table) -> pa.Table:
     return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "answer": pa.array([total[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary())})
 
 
+def counted_lists(found: DataFrame, layout: Layout) -> DataFrame:
+    """Answers to the buckets' lists. The lists are dealt into as many partitions as the layout has, whatever the session's setting, so no task grows with the input."""
+    return found.repartition(layout.partitions, "part").groupBy("part").applyInArrow(totals, ANSWERS)
+
+
 def answered(answers: pa.Table) -> np.ndarray:
     """The answers to a bucket's lists, as one array in the order of its distinct keys."""
     order = np.argsort(answers.column("part").to_numpy())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import sys
 import tempfile
 from collections.abc import Callable, Iterator
@@ -20,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where that is unset (tests, a laptop) one temporary folder is made."""
+    """The session's spark.checkpoint.dir; only where that is unset and the master is this machine (tests, a laptop) one temporary folder is made."""
     context = spark.sparkContext
     if folder := context.getConf().get("spark.checkpoint.dir"):
         return folder
     if not context.getCheckpointDir():
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="weft-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -73,12 +76,29 @@ def input_bytes(docs: DataFrame) -> int:
     return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: Bytes of an Arrow batch between the JVM and a worker.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, but for a single row's, where no smaller bound is set: by rows alone, their memory in both processes follows the texts' lengths."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(name))  # the default is shown as 67108864b
+    if not now or int(now[1]) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def column_of(batch: pa.RecordBatch, path: str) -> pa.Array:
+    """A column, or a field of a struct column as `row.text`."""
+    outer, _, inner = path.partition(".")
+    return pa.compute.struct_field(batch.column(outer), inner) if inner else batch.column(outer)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut to about `most` bytes of the column, so that a worker's memory doesn't follow the rows in a batch."""
     for batch in batches:
         start = held = 0
-        sizes = batch.column(column).fill_null("") if pa.types.is_string(batch.schema.field(column).type) else batch.column(column)
-        for i, n in enumerate(pa.compute.binary_length(sizes).to_pylist()):
+        for i, n in enumerate(pa.compute.binary_length(column_of(batch, column)).to_pylist()):
             if held and held + (n or 0) > most:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
@@ -113,6 +133,8 @@ def trim() -> None:
 def arrow_map(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, column: str = "text", most: int = 4 << 20) -> DataFrame:
     """mapInArrow with bounded slices. make() runs once in a task and gives the function for a slice."""
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for part in slices(batches, column, most):

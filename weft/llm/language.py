@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.llm.common import arrow_map, hold, table
+from weft.llm.common import arrow_map, column_of, hold, table
 
 # The main Unicode ranges of scripts.
 SCRIPTS = {
@@ -239,7 +239,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 
 def identify(docs: DataFrame, model: Model, whole: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score and spans of every row and whole text; with `whole` also `row`, the input row.
+    """doc_id, lang_pred, score and spans of every row and whole text; with `whole`, `row` (the input row) takes the place of doc_id.
 
     `und` with score 0 and no spans where the text is null or has no letter, or
     the model knows no language. The score is the share of the text's letters
@@ -253,14 +253,14 @@ def identify(docs: DataFrame, model: Model, whole: bool = False) -> DataFrame:
         labeller = hold(key, lambda: Labeller(shared.value))
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column(c) for c in carried] + labeller.label(batch.column("text")), [*carried, "lang_pred", "score", "spans"])
+            return pa.RecordBatch.from_arrays([batch.column(carried), *labeller.label(column_of(batch, text))], [carried, "lang_pred", "score", "spans"])
 
         return work
 
-    chosen = docs.select("doc_id", "text", *[F.struct(*docs.columns).alias("row")] * whole)
-    carried = ["doc_id", *["row"] * whole]
-    schema = T.StructType([chosen.schema[c] for c in carried]).simpleString()[len("struct<") : -1]
-    return arrow_map(chosen, make, f"{schema}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
+    chosen = docs.select(F.struct(*docs.columns).alias("row")) if whole else docs.select("doc_id", "text")
+    carried, text = ("row", "row.text") if whole else ("doc_id", "text")
+    schema = T.StructType([chosen.schema[carried]]).simpleString()[len("struct<") : -1]
+    return arrow_map(chosen, make, f"{schema}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>", text)
 
 
 def held_out() -> Column:

@@ -18,6 +18,9 @@ threshold, however they overlap; all other members of a bucket are compared.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from weft.llm.buckets import ANSWERS, LISTS, Layout, answered, bucketed, lists, split_keys, totals
+from weft.llm.buckets import LISTS, Layout, answered, bucketed, counted_lists, lists, split_keys
 from weft.llm.common import cut, release, setting, settle, table, trim
 
 WORDS = 5
@@ -38,6 +41,11 @@ PAIRS = 256
 #: Bytes of a shingle's fingerprint in the comparison of two texts.
 PRINT = 5
 
+#: Bytes of text that are split into words at a time, and shingles that are worked on at a time.
+SLICE, CHUNK = 1 << 20, 1 << 17
+#: Scripts written without spaces.
+SOLO = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+
 #: The row number while a stage's rows are chosen.
 ROW = "_weft_row"
 
@@ -50,47 +58,107 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _parts(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """The texts in runs of about SLICE bytes, each with the number of its first text; a longer text alone, in parts that end before a character that is in no word, or a word by itself."""
+    import regex
+
+    start = held = 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if held and held + n > SLICE:
+            yield start, texts.slice(start, i - start)
+            start, held = i, 0
+        if n > SLICE:
+            whole, at, edge = texts[i].as_py(), 0, regex.compile(rf"[^\pL\pN]|[{SOLO}]")
+            while at < len(whole):
+                found = edge.search(whole, at + SLICE)
+                end = found.start() if found else len(whole)
+                yield i, pa.array([whole[at:end]], pa.string())
+                at = end
+            start, held = i + 1, 0
+        else:
+            held += n
+    if start < len(texts):
+        yield start, texts.slice(start)
+
+
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of the texts, one text after the other, and how many words each has.
+
+    Words are runs of letters and digits in lower case; in scripts that are
+    written without spaces each character is one.
+    """
+    import xxhash
+
+    hashes, sizes = [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64)
+    for first, part in _parts(texts):
+        part = pc.utf8_lower(part)
+        if not pc.all(pc.string_is_ascii(part)).as_py():
+            part = pc.replace_substring_regex(part, f"([{SOLO}])", r" \1 ")
+        split = pc.utf8_split_whitespace(pc.replace_substring_regex(part, r"[^\pL\pN]+", " "))
+        coded = split.flatten().dictionary_encode()
+        held, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        real = np.array([bool(w) for w in held] + [False])[code]
+        hashes.append(np.array([xxhash.xxh3_64_intdigest(w) for w in held] + [0], np.uint64)[code[real]])
+        sizes[first : first + len(part)] += np.diff(np.concatenate([[0], np.cumsum(real)])[split.offsets.to_numpy()])
+    return np.concatenate(hashes), sizes
+
+
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the texts' shingles in order, each one's text, and a hash of each text's words.
+    """64-bit hashes of the texts' shingles in order, where each text's begin (and the last one's end), and two 64-bit hashes of each text's words.
 
-    Words are runs of letters and digits in lower case. A text of fewer than
-    five words is one shingle; one without words is one shingle of what it is
-    but for the white space around it, so equal ones are alike.
+    A text of fewer than five words is one shingle; one without words is one
+    shingle of what it is but for the white space around it, so equal ones are
+    alike.
     """
     import xxhash
 
-    n = len(texts)
-    words = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\pL\pN]+", " "))
-    coded = words.flatten().dictionary_encode()
-    held, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    real = np.array([bool(w) for w in held] + [False])[code]
-    edges = np.concatenate([[0], np.cumsum(real)])[words.offsets.to_numpy()]
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in held] + [0], np.uint64)[code[real]]
-    sizes = np.diff(edges)
+    hashes, sizes = words(texts)
     number = np.maximum(1, sizes - WORDS + 1)
-    text = np.repeat(np.arange(n), number)
-    start = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number) + edges[:-1][text]
+    edges, ends = np.concatenate([[0], np.cumsum(number)]), np.cumsum(sizes)
     padded = np.concatenate([hashes, np.zeros(WORDS, np.uint64)])
-    value = np.full(len(text), 7, np.uint64)
-    for k in range(WORDS):
-        inside = start + k < edges[1:][text]
-        value = np.where(inside, mixed(value * np.uint64(0x9E3779B97F4A7C15) + padded[start + k]), value)
-    for i in np.flatnonzero(sizes == 0):
-        value[np.searchsorted(text, i)] = xxhash.xxh3_64_intdigest(texts[int(i)].as_py().strip(), seed=1)
-    place = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)
-    whole = np.zeros(n, np.uint64)
-    np.add.at(whole, text, mixed(value + (place.astype(np.uint64) << np.uint64(1)) * MIX))
-    return value, text, mixed(whole ^ number.astype(np.uint64))
-
-
-def counted(value: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, hash) in their order: texts, hashes, counts."""
-    order = np.lexsort((value, text))
-    v, t = value[order], text[order]
-    first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (t[1:] != t[:-1])])) if len(v) else np.zeros(0, np.int64)
-    return t[first], v[first], np.diff(np.append(first, len(v)))
-
-
+    value, whole = np.empty(edges[-1], np.uint64), np.zeros((2, len(texts)), np.uint64)
+    empty = {int(i): xxhash.xxh3_64_intdigest(texts[int(i)].as_py().strip(), seed=1) for i in np.flatnonzero(sizes == 0)}
+    for a in range(0, len(value), CHUNK):
+        index = np.arange(a, min(a + CHUNK, len(value)))
+        text = np.searchsorted(edges, index, side="right") - 1
+        place = index - edges[text]
+        start, end = place + (ends - sizes)[text], ends[text]
+        some = np.full(len(index), 7, np.uint64)
+        for k in range(WORDS):
+            some = np.where(start + k < end, mixed(some * np.uint64(0x9E3779B97F4A7C15) + padded[np.minimum(start + k, len(hashes))]), some)
+        first = np.flatnonzero(np.diff(text, prepend=-1))
+        for at in first[sizes[text[first]] == 0]:
+            some[at] = empty[int(text[at])]
+        value[a : a + len(some)] = some
+        for k, step in enumerate((1, 2)):
+            whole[k, text[first]] += np.add.reduceat(mixed(some + (place.astype(np.uint64) << np.uint64(step)) * MIX + np.uint64(k)), first)
+    return value, edges, mixed(whole ^ number.astype(np.uint64))
+
+
+def ranges(edges: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of texts (first, after the last) of about CHUNK entries."""
+    first = 0
+    while first < len(edges) - 1:
+        after = max(first + 1, int(np.searchsorted(edges, edges[first] + CHUNK, side="right")) - 1)
+        yield first, after
+        first = after
+
+
+def counted(value: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes of each text in their order: where each text's begin, hashes, counts."""
+    sizes, hashes, counts = np.zeros(len(edges) - 1, np.int64), [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    for a, b in ranges(edges):
+        text = np.repeat(np.arange(a, b, dtype=np.int32), np.diff(edges[a : b + 1]))
+        v = value[edges[a] : edges[b]]
+        v = v[np.lexsort((v, text))]
+        first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (text[1:] != text[:-1])]))
+        sizes += np.bincount(text[first], minlength=len(sizes))
+        hashes.append(v[first])
+        counts.append(np.diff(np.append(first, len(v))).astype(np.int32))
+    return np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(hashes), np.concatenate(counts)
+
+
+@lru_cache(maxsize=1)
 def draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tables of the sampling's random numbers: r and ln c after Gamma(2, 1), beta uniform."""
     rng = np.random.default_rng(5)
@@ -139,8 +207,7 @@ def idf(documents: np.ndarray, rows: int) -> np.ndarray:
 def _lists(layout: Layout):
     def run(key, data):
         release()
-        value, text, _ = shingles(_text(data))
-        _, distinct, _ = counted(value, text)
+        _, distinct, _ = counted(*shingles(_text(data))[:2])
         return lists(key[0].as_py(), *split_keys(distinct, layout)[:3])
 
     return run
@@ -150,36 +217,44 @@ def _text(data: pa.Table) -> pa.Array:
     return data.column("text").combine_chunks() if data.num_rows else pa.array([], pa.string())
 
 
-NODES = "rid long, alike long, weight double, shared double, prints binary, weights binary, bands array<long>"
+NODES = "rid long, alike binary, weight double, shared double, prints binary, weights binary, bands array<long>"
 
 
 def _nodes(layout: Layout):
     def run(key, data, answers):
         """A row for each document; of those with the same words in the bucket, and those that can have a partner, the first has samples."""
         release()
-        value, text, alike = shingles(_text(data))
-        t, v, n = counted(value, text)
+        value, places, whole = shingles(_text(data))
+        edges, v, n = counted(value, places)
+        del value
+        rows, sizes = data.num_rows, np.diff(edges)
         documents = answered(answers)[split_keys(v, layout)[3]]
         weight = idf(documents, layout.rows) * n.astype(np.float32)
-        rows = data.num_rows
-        total = np.bincount(t, weight, rows)
-        shared = np.bincount(t, np.where(documents > 1, weight, 0), rows)
-        _, first = np.unique(alike, return_index=True)
+        total, shared = np.zeros(rows), np.zeros(rows)
+        for a, b in ranges(edges):
+            some, text = weight[edges[a] : edges[b]], np.repeat(np.arange(b - a), sizes[a:b])
+            total[a:b] = np.bincount(text, some, b - a)
+            shared[a:b] = np.bincount(text, np.where(documents[edges[a] : edges[b]] > 1, some, 0), b - a)
+        alike = np.ascontiguousarray(whole.T).view("V16").ravel()
         chosen = np.zeros(rows, bool)
-        chosen[first] = True
+        chosen[np.unique(alike, return_index=True)[1]] = True
         chosen &= shared >= (THRESHOLD - 1e-6) * total
-        which = np.flatnonzero(chosen)
-        keep = chosen[t]
-        v, w = v[keep], weight[keep]
-        edges = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=rows)[which])]).astype(np.int64)
-        keys = bands(v, w, edges) if len(which) else np.zeros((0, BANDS), np.uint64)
-        prints = (v >> np.uint64(64 - 8 * PRINT)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PRINT]
-        column = [None] * rows
-        blobs = {"prints": list(column), "weights": list(column), "bands": list(column)}
-        for i, row in enumerate(which):
-            a, b = edges[i], edges[i + 1]
-            blobs["prints"][row], blobs["weights"][row], blobs["bands"][row] = prints[a:b].tobytes(), w[a:b].tobytes(), keys[i].view(np.int64)
-        return pa.table({"rid": data.column("rid"), "alike": pa.array(alike.view(np.int64)), "weight": pa.array(total), "shared": pa.array(shared), "prints": pa.array(blobs["prints"], pa.binary()), "weights": pa.array(blobs["weights"], pa.binary()), "bands": pa.array(blobs["bands"], pa.list_(pa.int64()))})
+        blobs = {name: [None] * rows for name in ("prints", "weights", "bands")}
+        for a, b in ranges(edges):
+            which = np.flatnonzero(chosen[a:b]) + a
+            if not len(which):
+                continue
+            keep = np.repeat(chosen[a:b], sizes[a:b])
+            some, heavy = v[edges[a] : edges[b]][keep], weight[edges[a] : edges[b]][keep]
+            at = np.concatenate([[0], np.cumsum(sizes[which])])
+            keys = bands(some, heavy, at)
+            prints = (some >> np.uint64(64 - 8 * PRINT)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PRINT]
+            for i, row in enumerate(which):
+                first, after = at[i], at[i + 1]
+                blobs["prints"][row], blobs["weights"][row], blobs["bands"][row] = prints[first:after].tobytes(), heavy[first:after].tobytes(), keys[i].view(np.int64)
+        columns = {"rid": data.column("rid"), "alike": pa.array([x.tobytes() for x in alike], pa.binary()), "weight": pa.array(total), "shared": pa.array(shared)}
+        columns |= {"prints": pa.array(blobs["prints"], pa.binary()), "weights": pa.array(blobs["weights"], pa.binary()), "bands": pa.array(blobs["bands"], pa.list_(pa.int64()))}
+        return pa.table(columns)
 
     return run
 
@@ -244,7 +319,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         raise ValueError(f"the bands are made for a threshold of {THRESHOLD} or more")
     dealt, layout = bucketed(docs, 1 / 6)
     ids = dealt.select("rid", "doc_id")
-    counts = dealt.groupBy("bucket").applyInArrow(_lists(layout), LISTS).groupBy("part").applyInArrow(totals, ANSWERS)
+    counts = counted_lists(dealt.groupBy("bucket").applyInArrow(_lists(layout), LISTS), layout)
     nodes = cut(dealt.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(_nodes(layout), NODES))
 
     # Copies by words are one node, named by the least rid among those with samples.
@@ -294,9 +369,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     by_words = named.join(labels, "node", "left").select("alike", F.coalesce("label", "node").alias("class"))
     kin = nodes.select("rid", "alike").join(by_words, "alike", "left")
     # Texts without samples have no partner but those of the same words.
-    own = ids.join(kin, "rid").withColumn("class", F.struct(F.coalesce("class", F.lit(-1)).alias("c"), F.when(F.col("class").isNull(), F.col("alike")).alias("w")))
-    own = cut(own.select("rid", "doc_id", F.xxhash64("class.c", "class.w").alias("class")))
+    name = F.coalesce(F.concat(F.lit("n"), F.col("class").cast("string")), F.concat(F.lit("w"), F.hex("alike")))
+    own = cut(ids.join(kin, "rid").select("rid", "doc_id", name.alias("class")))
     heads = own.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid"))).alias("head"), F.count("*").alias("class_size"))
+    # Cut, so that the join has a shuffle of its own on either side: only then are a large class's partitions split.
+    heads = cut(heads)
     return own.join(heads, "class").select("rid", "doc_id", F.col("head.doc_id").alias("class_id"), F.col("head.rid").alias("class_rid"), "class_size", (F.col("rid") == F.col("head.rid")).alias("kept"))
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.buckets import ANSWERS, LISTS, Layout, answered, bucketed, lists, split_keys, totals
+from weft.llm.buckets import LISTS, Layout, answered, bucketed, counted_lists, lists, split_keys
 from weft.llm.common import release, table
 
 LENGTH = 100
@@ -316,10 +316,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     whole. An empty table gives an empty result; only doc_id and text are read.
     """
     dealt, layout = bucketed(docs, 1 / 28)
-    counts = dealt.groupBy("bucket").applyInArrow(_lists(layout), LISTS).groupBy("part").applyInArrow(totals, ANSWERS)
+    counts = counted_lists(dealt.groupBy("bucket").applyInArrow(_lists(layout), LISTS), layout)
     deals = max(layout.partitions, layout.buckets)
     phrases = dealt.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(_phrases(layout, deals), PHRASES)
-    repeats = phrases.groupBy("deal").applyInArrow(_resolve, REPEATS)
+    repeats = phrases.repartition(deals, "deal").groupBy("deal").applyInArrow(_resolve, REPEATS)
     return dealt.groupBy("bucket").cogroup(repeats.groupBy("bucket")).applyInArrow(_remove, RESULT.format(docs.schema["doc_id"].dataType.simpleString()))
 
 
