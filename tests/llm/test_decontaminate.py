@@ -3,6 +3,7 @@ from collections import Counter
 import regex
 
 from tests.llm.conftest import prose
+from weft.llm import decontaminate
 from weft.llm.decontaminate import hits, stage
 
 
@@ -48,3 +49,20 @@ def test_stage(spark, odd, tmp_path):
     spark.createDataFrame([(1, prose(1, 30))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     kept = stage(spark, odd, str(tmp_path))
     assert kept.columns == odd.columns and kept.count() == odd.count() - 6
+
+
+def test_scripts_without_spaces(spark):
+    """Each character is a word there: an item inside a longer text is found, with a character changed too."""
+    item = "".join(chr(0x4E00 + (i * 7919) % 20000) for i in range(200))
+    around = "".join(chr(0x4E00 + (i * 104729 + 5) % 20000) for i in range(300))
+    docs = spark.createDataFrame([(1, around + item + around), (2, around + item[:99] + "\u3042" + item[100:]), (3, around)], "doc_id long, text string")
+    got = hits(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"], r["start"]) for r in got.collect()) == [(1, 7, 300), (2, 7, 300)]
+
+
+def test_shuffled_where_nothing_is_broadcast(spark, odd, monkeypatch):
+    benchmark = spark.createDataFrame([(1, prose(1, 30))], "item_id long, text string")
+    rows = lambda: sorted(map(tuple, hits(odd, benchmark).collect()), key=str)
+    before = rows()
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    assert rows() == before

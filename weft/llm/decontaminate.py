@@ -24,8 +24,10 @@ RADIUS = 23
 BLOCKS = 8
 #: Part of an item's shingles that a window must share to be fingerprinted; 0.8 of them is the least that the threshold allows.
 SEED = 0.75
-#: Rows up to which a side is broadcast; beyond that the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a side is broadcast; beyond that the join shuffles. A row's columns of fixed width count as ROW_BYTES.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 64
+#: Scripts written without spaces.
+SOLO = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 
 #: The counters of four bits, 16 bits each, for every value of the four.
 LANES = [sum(((v >> i) & 1) << (16 * i) for i in range(4)) for v in range(16)]
@@ -34,8 +36,9 @@ FLIPS = [v for v in range(256) if v.bit_count() <= RADIUS // BLOCKS]
 
 
 def words_of(text: Column) -> Column:
-    """Runs of letters and digits in lower case, joined by single spaces."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    """Runs of letters and digits in lower case, joined by single spaces; in scripts that are written without spaces each character is one."""
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    return F.trim(F.regexp_replace(F.regexp_replace(lower, f"([{SOLO}])", " $1 "), r"[^\p{L}\p{N}]+", " "))
 
 
 def shingles(words: Column, k: int) -> Column:
@@ -62,8 +65,11 @@ def _nibble(x: Column, j: Column) -> Column:
     return F.call_function("shiftrightunsigned", x, (j * 4).cast("int")).bitwiseAND(F.lit(15)).cast("int")
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _sized(df: DataFrame, entries: Column | int = 0) -> DataFrame:
+    """The frame, to be broadcast if its rows and the entries of its arrays, 8 bytes each, take few enough bytes."""
+    wide = entries if isinstance(entries, Column) else F.lit(entries)
+    size = df.agg(F.coalesce(F.sum(ROW_BYTES + 8 * wide.cast("long")), F.lit(0)).alias("bytes")).first()["bytes"]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def _block(fingerprint: Column, i: int) -> Column:
@@ -83,11 +89,11 @@ def _hits(rows: DataFrame, items: DataFrame, k: int) -> DataFrame:
     items = cut(items.select("item_id", hashed(shingles(F.col("words"), k)).alias("item")).withColumn("n", F.size("item")))
     keys = cut(items.select("item_id", "n", F.explode(F.array_distinct("item")).alias("key")))
     places = rows.select("doc_id", "mark", F.posexplode(shingles(F.col("words"), k)).alias("at", "run")).select("doc_id", "mark", "at", F.xxhash64("run").alias("key"))
-    found = places.join(_sized(keys, keys.count()), "key").groupBy("doc_id", "mark", "item_id", "n").agg(F.array_sort(F.collect_set("at")).alias("at"))  # at most a text's words
+    found = places.join(_sized(keys), "key").groupBy("doc_id", "mark", "item_id", "n").agg(F.array_sort(F.collect_set("at")).alias("at"))  # at most a text's words
     need = F.ceil(F.col("n") * SEED).cast("int")
     seeds = found.where(F.size("at") >= need).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("item_id", "n", "at")).alias("seeds"))
     seeds = cut(seeds.withColumnsRenamed({"doc_id": "of", "mark": "of_mark"}))
-    texts = rows.join(_sized(seeds, seeds.count()), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")))
+    texts = rows.join(_sized(seeds, F.aggregate("seeds", F.lit(0), lambda n, x: n + F.size(x["at"]) + 4)), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")))
     near = texts.select("doc_id", "mark", hashed(shingles(F.col("words"), k)).alias("all"), F.explode("seeds").alias("seed")).select("doc_id", "mark", "all", "seed.*")
     size, need = F.least("n", F.size("all")), F.ceil(F.col("n") * SEED).cast("int")
     begins = F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - need), lambda i: _range(F.greatest(F.lit(0), F.get("at", i + need - 1) - size + 1), F.least(F.get("at", i), F.size("all") - size))))
@@ -97,8 +103,7 @@ def _hits(rows: DataFrame, items: DataFrame, k: int) -> DataFrame:
     index = items.withColumn("item_print", simhash(F.col("item")))
     index = cut(index.withColumn("block", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _block(F.col("item_print"), i).alias("v")) for i in range(BLOCKS)]))))
     index = index.withColumn("flip", F.explode(F.array(*[F.lit(v) for v in FLIPS]))).select("item_id", "item", "item_print", F.col("n").alias("item_n"), F.col("block.i").alias("item_i"), F.col("block.v").bitwiseXOR(F.col("flip")).alias("item_v"))
-    rows_of_index = items.count() * BLOCKS * len(FLIPS)
-    candidates = probes.join(_sized(index, rows_of_index), (F.col("n") == F.col("item_n")) & (F.col("block.i") == F.col("item_i")) & (F.col("block.v") == F.col("item_v")))
+    candidates = probes.join(_sized(index, F.size("item")), (F.col("n") == F.col("item_n")) & (F.col("block.i") == F.col("item_i")) & (F.col("block.v") == F.col("item_v")))
     within = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS
     # A pair that several blocks find is verified in the first of them.
     first = reduce(lambda rest, i: F.when(F.bit_count(_block(F.col("print"), i).bitwiseXOR(_block(F.col("item_print"), i))) <= RADIUS // BLOCKS, F.lit(i)).otherwise(rest), reversed(range(BLOCKS)), F.lit(-1))
@@ -135,8 +140,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\pL\pN]+', ' ', 'g')), ' ') AS w FROM documents),
-b AS (SELECT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\pL\pN]+', ' ', 'g')), ' ') AS w FROM benchmark),
+WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])', ' \1 ', 'g'), '[^\pL\pN]+', ' ', 'g')), ' ') AS w FROM documents),
+b AS (SELECT item_id, string_split(trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])', ' \1 ', 'g'), '[^\pL\pN]+', ' ', 'g')), ' ') AS w FROM benchmark),
 ds AS (SELECT doc_id, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) AS s FROM d),
 bs AS (SELECT item_id, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) AS s FROM b),
 dx AS (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS p FROM ds),
@@ -156,4 +161,4 @@ SELECT doc_id, item_id, max(similarity) AS similarity, arg_min(start, (-similari
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that hold no item, with all the columns of docs."""
     found = cut(hits(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark")).distinct())
-    return docs.join(_sized(found, found.count()), docs["doc_id"].eqNullSafe(F.col("of")) & (F.xxhash64(docs["text"]) == F.col("of_mark")), "left_anti")
+    return docs.join(_sized(found), docs["doc_id"].eqNullSafe(F.col("of")) & (F.xxhash64(docs["text"]) == F.col("of_mark")), "left_anti")

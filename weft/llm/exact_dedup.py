@@ -3,9 +3,9 @@
 A document's key is its length in bytes followed by its normalised text. Each
 round splits every open group by the next bytes of its members (the digit) and
 closes the groups that are singletons or whose keys have ended. Digits grow
-from round to round, so four rounds reach the end of any text Spark can hold,
-and after the first one only documents that share a length and their first
-bytes are still open. Equality is that of the bytes themselves: the digests in
+from round to round up to the last width, which repeats until no group is open;
+after the first one only documents that share a length and their first bytes
+are still open. Equality is that of the bytes themselves: the digests in
 the result are output, never compared.
 
 The counts of a round are aggregated before the shuffle, so a third of all rows
@@ -16,13 +16,15 @@ splits its large partitions.
 
 from __future__ import annotations
 
+from itertools import chain, repeat
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.common import cut, numbered, table
 
-#: Bytes of each round's digit; the last takes what is left.
-DIGITS = (64, 4096, 262_144, 2_147_483_647)
+#: Bytes of each round's digit; the last width holds for all further rounds.
+DIGITS = (64, 4096, 262_144, 8_388_608)
 
 
 def normalised(text: Column) -> Column:
@@ -37,7 +39,8 @@ def exact_groups(docs: DataFrame, whole: bool = False) -> DataFrame:
     rows without an id come last, and of rows that tie on the id (repeated
     rows) exactly one stays. Null and empty texts are equal. An empty table
     gives an empty result; other columns of the input play no part, whatever
-    their names.
+    their names. The rows are read in more than one job, so docs must be a scan
+    or another frame that gives its rows in the same order each time.
     """
     row = F.struct(*(docs.columns if whole else ["doc_id"])).alias("row")
     text = normalised(F.col("text"))
@@ -45,7 +48,7 @@ def exact_groups(docs: DataFrame, whole: bool = False) -> DataFrame:
         "rid", "row", F.sha2("rest", 256).alias("text_sha256"), F.octet_length("rest").alias("size"), F.lit(-1).cast("long").alias("group"), "rest"
     )
     closed = []
-    for width in DIGITS:
+    for width in chain(DIGITS, repeat(DIGITS[-1])):
         keyed = rows.withColumn("digit", F.substring("rest", 1, width))
         groups = keyed.groupBy("group", "size", "digit").agg(
             F.count("*").alias("group_size"), F.min(F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id").alias("doc_id"), F.col("rid").alias("rid"))).alias("first")
@@ -54,13 +57,12 @@ def exact_groups(docs: DataFrame, whole: bool = False) -> DataFrame:
         groups = cut(groups)
         ended = (F.col("group_size") == 1) | (F.octet_length("rest") <= width)
         split = keyed.join(groups, ["group", "size", "digit"]).select(
-            "rid", "row", "text_sha256", "size", F.col("first.rid").alias("group"), F.col("first.doc_id").alias("keep_id"), "group_size", F.when(~ended, F.expr(f"substring(rest, {width} + 1)") if width < DIGITS[-1] else None).alias("rest")
+            "rid", "row", "text_sha256", "size", F.col("first.rid").alias("group"), F.col("first.doc_id").alias("keep_id"), "group_size", F.when(~ended, F.expr(f"substring(rest, {width} + 1)")).alias("rest")
         )
-        if width < DIGITS[-1]:
-            split = cut(split)
+        split = cut(split)
         closed.append(split.where(F.col("rest").isNull()))
         rows = split.where(F.col("rest").isNotNull()).drop("keep_id", "group_size")
-        if width == DIGITS[-1] or rows.isEmpty():
+        if rows.isEmpty():
             break
     result = closed[0]
     for more in closed[1:]:

@@ -313,7 +313,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     The class id is the smallest doc_id of the class (rows without an id come
     last; ties, as of repeated rows, go to one row), whose row is kept. Texts of
     the same words are one class; null and blank texts are alike. An empty
-    table gives an empty result; only doc_id and text are read.
+    table gives an empty result; only doc_id and text are read. The rows are
+    read in more than one job, so docs must be a scan or another frame that
+    gives its rows in the same order each time.
     """
     if threshold < THRESHOLD:
         raise ValueError(f"the bands are made for a threshold of {THRESHOLD} or more")
