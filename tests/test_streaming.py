@@ -55,14 +55,24 @@ def test_distinct_within(spark, batch, tmp_path):
     assert spark.table("t_distinct").count() == batch.count()
 
 
-def test_stream_stream_join(spark, batch, streamed, tmp_path):
-    query = on.to_parquet(on.clicks_to_purchases(streamed, 6), str(tmp_path / "out"), str(tmp_path / "c"))
-    query.awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out"))
+def test_stream_stream_join(spark, batch, streamed):
+    got = on.to_parquet(on.clicks_to_purchases(streamed, 6), spark)
     want = batch.alias("c").join(batch.alias("p"), F.expr("c.user_id = p.user_id AND c.event_type = 'click' AND p.event_type = 'purchase' AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 6 HOURS")).select(F.col("c.event_id").alias("click_id"), F.col("p.event_id").alias("buy_id"))
     assert rows(got) == rows(want) and got.count()
 
 
+def test_idle_state_is_dropped(spark, tmp_path):
+    """A user who comes back after its state's time starts anew."""
+    source, schema = str(tmp_path / "in"), "user_id long, ts timestamp, value double"
+    for user, ts in ((1, "2024-01-01 10:00:00"), (2, "2024-01-02 10:00:00"), (2, "2024-01-02 10:05:00"), (1, "2024-01-02 10:10:00")):
+        spark.createDataFrame([(user, ts, 1.0)], "user_id long, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(source)
+        time.sleep(1.1)  # files are taken in the order of their times
+    arriving = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    counts = lambda df: sorted((r["user_id"], r["n"]) for r in on.updates_to_parquet(df, spark).collect())
+    assert counts(on.running_totals(arriving())) == [(1, 1), (1, 2), (2, 1), (2, 2)]
+    assert counts(on.running_totals(arriving(), idle=3600)) == [(1, 1), (1, 1), (2, 1), (2, 2)]
+
+
 def test_custom_state(spark, batch, streamed, tmp_path):
     on.to_memory(on.running_totals(streamed), "t_state", "update", str(tmp_path / "c"))
     want = batch.groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("top"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.plans.catalog import query
-from weft.sources.tables import table, views
+from weft.sources.tables import sql, table
 
 
 @query("""
@@ -32,7 +32,7 @@ SELECT l_suppkey, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, round(
 
 @query(CONDITIONAL)
 def conditional_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views(spark, sf_dir, "lineitem").sql(CONDITIONAL)
+    return sql(spark, sf_dir, CONDITIONAL, "lineitem")
 
 
 def _grouped(by: str) -> str:
@@ -41,7 +41,7 @@ def _grouped(by: str) -> str:
 
 @query(_grouped("GROUPING SETS ((l_returnflag), (l_linestatus), ())"))
 def grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views(spark, sf_dir, "lineitem").sql(_grouped("GROUPING SETS ((l_returnflag), (l_linestatus), ())"))
+    return sql(spark, sf_dir, _grouped("GROUPING SETS ((l_returnflag), (l_linestatus), ())"), "lineitem")
 
 
 @query(_grouped("CUBE (l_returnflag, l_linestatus)"))
@@ -63,8 +63,11 @@ def spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_returnflag, round(median(l_extendedprice), 4) AS med, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, quantile_disc(l_quantity, 0.25) AS q25 FROM lineitem GROUP BY l_returnflag")
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views(spark, sf_dir, "lineitem").sql(
-        "SELECT l_returnflag, round(median(l_extendedprice), 4) AS med, round(percentile(l_extendedprice, 0.9), 4) AS p90, percentile_disc(0.25) WITHIN GROUP (ORDER BY l_quantity) AS q25 FROM lineitem GROUP BY l_returnflag"
+    return sql(
+        spark,
+        sf_dir,
+        "SELECT l_returnflag, round(median(l_extendedprice), 4) AS med, round(percentile(l_extendedprice, 0.9), 4) AS p90, percentile_disc(0.25) WITHIN GROUP (ORDER BY l_quantity) AS q25 FROM lineitem GROUP BY l_returnflag",
+        "lineitem",
     )
 
 
@@ -75,7 +78,7 @@ def approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS nations FROM nation GROUP BY n_regionkey")
 def ordered_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views(spark, sf_dir, "nation").sql("SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS nations FROM nation GROUP BY n_regionkey")
+    return sql(spark, sf_dir, "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS nations FROM nation GROUP BY n_regionkey", "nation")
 
 
 @query("""

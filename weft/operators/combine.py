@@ -10,11 +10,11 @@ from weft.sources.tables import table
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return table(spark, sf_dir, "orders").where("o_totalprice > 150000").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "events").select(F.col("user_id").alias("k"))
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "events").select(F.col("user_id").alias("k"))
 
 
 def _sql(op: str) -> str:
-    return f"SELECT o_custkey AS k FROM orders WHERE o_totalprice > 150000 {op} SELECT user_id FROM events"
+    return f"SELECT o_custkey AS k FROM orders {op} SELECT user_id FROM events"
 
 
 @query(_sql("UNION ALL"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.plans.catalog import query
-from weft.sources.tables import table, views
+from weft.sources.tables import sql, table
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem")
@@ -38,7 +38,7 @@ EXISTS = "SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l
 
 @query(EXISTS)
 def correlated_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views(spark, sf_dir, "orders", "lineitem").sql(EXISTS)
+    return sql(spark, sf_dir, EXISTS, "orders", "lineitem")
 
 
 SCALAR = "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem l WHERE l_quantity > (SELECT 1.5 * avg(l_quantity) FROM lineitem x WHERE x.l_partkey = l.l_partkey)"
@@ -46,7 +46,7 @@ SCALAR = "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem l
 
 @query(SCALAR)
 def scalar_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views(spark, sf_dir, "lineitem").sql(SCALAR)
+    return sql(spark, sf_dir, SCALAR, "lineitem")
 
 
 LATERAL = "SELECT c_custkey, t.o_orderkey FROM customer c, LATERAL (SELECT o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t"
@@ -54,7 +54,7 @@ LATERAL = "SELECT c_custkey, t.o_orderkey FROM customer c, LATERAL (SELECT o_ord
 
 @query(LATERAL)
 def lateral_top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views(spark, sf_dir, "customer", "orders").sql(LATERAL)
+    return sql(spark, sf_dir, LATERAL, "customer", "orders")
 
 
 @query("WITH RECURSIVE t(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 10) SELECT n, f FROM t")
@@ -62,11 +62,14 @@ def recursive_cte(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("WITH RECURSIVE t(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 10) SELECT n, f FROM t")
 
 
-@query("""
-SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'purchase') AS purchase, count(*) FILTER (event_type = 'view') AS "view" FROM events GROUP BY user_id""")
+TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+@query(f"SELECT user_id, {', '.join(f'count(*) FILTER (event_type = {t!r}) AS {t}s' for t in TYPES)} FROM events GROUP BY user_id")
 def pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", ["click", "purchase", "view"]).agg(F.count(F.lit(1)))
-    return wide.select("user_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("click", "purchase", "view")])
+    """The types are named, so that no job has to find them."""
+    wide = table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", list(TYPES)).agg(F.count(F.lit(1)))
+    return wide.select("user_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(f"{c}s") for c in TYPES])
 
 
 @query("""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weft.plans.catalog import query
-from weft.sources.tables import table, views
+from weft.sources.tables import sql, table
 
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str]) -> DataFrame:
@@ -33,18 +33,18 @@ def within(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right
     return one.join(two, [*by, "_bin"]).where((gap >= 0) & (gap <= seconds * 1_000_000)).drop("_bin")
 
 
-@query("SELECT c_custkey, c_name, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 0")
+@query("SELECT c_custkey, c_name, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def join_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """nation and region are fixed tables of 25 and 5 rows."""
     nation = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    return table(spark, sf_dir, "customer").where("c_acctbal > 0").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "n_name", "r_name")
+    return table(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "n_name", "r_name")
 
 
-ORDER_LINES = "SELECT o_orderkey, o_orderstatus, l_linenumber, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'"
+ORDER_LINES = "SELECT o_orderkey, o_orderstatus, l_linenumber, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
 
 
 def _order_lines(spark: SparkSession, sf_dir: str, hint: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    orders = table(spark, sf_dir, "orders")
     return orders.hint(hint).join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "o_orderstatus", "l_linenumber", "l_partkey")
 
 
@@ -59,13 +59,13 @@ def join_shuffled_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _outer(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    big = table(spark, sf_dir, "lineitem").where("l_quantity > 48").select("l_orderkey", "l_partkey")
-    urgent = table(spark, sf_dir, "orders").where("o_totalprice > 200000").select("o_orderkey", "o_custkey")
-    return urgent.join(big, F.col("o_orderkey") == F.col("l_orderkey"), kind)
+    """Customers without events and events without a customer are in both tables."""
+    users = table(spark, sf_dir, "events").select("event_id", "user_id")
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(users, F.col("c_custkey") == F.col("user_id"), kind)
 
 
 def _outer_sql(kind: str) -> str:
-    return f"SELECT o_orderkey, o_custkey, l_orderkey, l_partkey FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 200000) o {kind} JOIN (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_quantity > 48) l ON o_orderkey = l_orderkey"
+    return f"SELECT c_custkey, c_name, event_id, user_id FROM customer {kind} JOIN events ON c_custkey = user_id"
 
 
 @query(_outer_sql("LEFT"))
@@ -98,13 +98,20 @@ NOT_IN = "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderk
 
 @query(NOT_IN)
 def join_not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views(spark, sf_dir, "orders", "lineitem").sql(NOT_IN)
+    return sql(spark, sf_dir, NOT_IN, "orders", "lineitem")
 
 
-@query("SELECT a.s_suppkey AS poorer, b.s_suppkey AS richer FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_acctbal < b.s_acctbal")
+#: Width of the band and of its bins.
+BAND = 25.0
+
+
+@query(f"SELECT a.s_suppkey AS poorer, b.s_suppkey AS richer FROM supplier a JOIN supplier b ON a.s_acctbal < b.s_acctbal AND b.s_acctbal - a.s_acctbal <= {BAND}")
 def join_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = (table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias(f"{x}_key"), F.col("s_nationkey").alias(f"{x}_nation"), F.col("s_acctbal").alias(f"{x}_bal")) for x in "ab")
-    return a.join(b, (F.col("a_nation") == F.col("b_nation")) & (F.col("a_bal") < F.col("b_bal"))).select(F.col("a_key").alias("poorer"), F.col("b_key").alias("richer"))
+    """A band join without an equal key: bins as wide as the band make one, and a row looks into its own bin and the next. No side is compared with the other as a whole."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", F.floor(F.col("s_acctbal") / BAND).alias("bin"))
+    poorer = rows.select(F.col("s_suppkey").alias("poorer"), F.col("s_acctbal").alias("low"), F.explode(F.array("bin", F.col("bin") + 1)).alias("bin"))
+    richer = rows.select(F.col("s_suppkey").alias("richer"), F.col("s_acctbal").alias("high"), "bin")
+    return poorer.join(richer, "bin").where((F.col("low") < F.col("high")) & (F.col("high") - F.col("low") <= BAND)).select("poorer", "richer")
 
 
 @query("SELECT r_name, n_name FROM region, nation")

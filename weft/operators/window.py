@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weft.plans.catalog import query
-from weft.sources.tables import table, views
+from weft.sources.tables import sql, table
 
 
 @query("""
@@ -45,7 +45,7 @@ RANGE = "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE
 
 @query(RANGE)
 def range_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views(spark, sf_dir, "events").sql(RANGE)
+    return sql(spark, sf_dir, RANGE, "events")
 
 
 @query("SELECT o_custkey, o_orderkey, k FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 3")

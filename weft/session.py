@@ -4,21 +4,29 @@ from __future__ import annotations
 
 import os
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 
+#: Settings that hold where neither the caller nor spark-submit gives another.
+DEFAULTS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+}
+
+
 def session(name: str = "weft", cpus: int | str | None = None, **conf: str) -> SparkSession:
-    """The active session, or a local one: UTC, adaptive execution, Arrow. On a cluster, spark-submit's settings come first."""
-    builder = SparkSession.builder.appName(name)
-    if "SPARK_REMOTE" not in os.environ and not os.environ.get("SPARK_MASTER"):
+    """The active session, or a new one. The caller's settings come first, then spark-submit's, then the defaults; without a master, this machine's cores and 8 shuffle partitions."""
+    if "PYSPARK_GATEWAY_PORT" in os.environ:
+        SparkContext._ensure_initialized()  # spark-submit's JVM, which knows its settings
+    builder, given = SparkSession.builder.appName(name), SparkConf()
+    settings = DEFAULTS
+    if "SPARK_REMOTE" not in os.environ and (cpus or not given.contains("spark.master")):
         builder = builder.master(f"local[{cpus or '*'}]")
-    settings = {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.shuffle.partitions": "8",
-        "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false",
-    }
+        settings = settings | {"spark.sql.shuffle.partitions": "8"}
+    settings = {k: v for k, v in settings.items() if not given.contains(k)}
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,11 +17,21 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def views(spark: SparkSession, directory: str, *names: str) -> SparkSession:
-    """The tables as temporary views, for SQL."""
-    for name in names:
-        table(spark, directory, name).createOrReplaceTempView(name)
-    return spark
+def sql(spark: SparkSession, directory: str, text: str, *names: str) -> DataFrame:
+    """The text over the named tables. They are bound to this text alone: no view of the caller's session is made or replaced."""
+    marked = re.sub(rf"\b({'|'.join(names)})\b", r"{\1}", text)
+    return spark.sql(marked, **{name: table(spark, directory, name) for name in names})
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name below spark.checkpoint.dir, which all machines share; only where that is unset and the master is this machine, below a temporary folder."""
+    context = spark.sparkContext
+    place = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not place:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        place = tempfile.mkdtemp(prefix="weft-scratch-")
+    return f"{place}/scratch-{uuid.uuid4().hex}"
 
 
 def write(df: DataFrame, path: str, kind: str = "parquet", partition_by: list[str] | None = None, mode: str = "errorifexists") -> None:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from weft.sources.tables import scratch
+
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:
     """Counts and sums by event type and window. late: how long a watermark waits; older rows are dropped."""
@@ -39,17 +41,30 @@ def clicks_to_purchases(events: DataFrame, hours: int = 1, late: str = "2 hours"
     return side("click", "click").join(side("purchase", "buy"), near).select("click_id", "buy_id")
 
 
-def running_totals(events: DataFrame) -> DataFrame:
-    """Custom state: each user's number of events and highest value so far, updated with every batch."""
+def running_totals(events: DataFrame, idle: int | None = None, late: str = "1 hour") -> DataFrame:
+    """Custom state: each user's number of events and highest value so far, updated with every batch.
+
+    idle: seconds of event time after a user's last event at which the state is
+    dropped, once the watermark has passed them; without it, state is kept for
+    good, so it grows with the number of users.
+    """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, top = state.get if state.exists else (0, float("-inf"))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, top, last = state.get if state.exists else (0, float("-inf"), 0)
         for frame in frames:
-            n, top = n + len(frame), max(top, float(frame["value"].max()))
-        state.update((n, top))
+            n, top, last = n + len(frame), max(top, float(frame["value"].max())), max(last, int(frame["ms"].max()))
+        state.update((n, top, last))
+        if idle is not None:
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle * 1000)
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "top": [top]})
 
-    return events.select("user_id", "value").groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, top double", "n long, top double", "update", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.EventTimeTimeout
+    timed = events if idle is None else events.withWatermark("ts", late)
+    grouped = timed.select("user_id", "value", "ts", F.unix_millis("ts").alias("ms")).groupBy("user_id")
+    return grouped.applyInPandasWithState(update, "user_id long, n long, top double", "n long, top double, last long", "update", timeout)
 
 
 def to_memory(df: DataFrame, name: str, mode: str, checkpoint: str) -> StreamingQuery:
@@ -59,6 +74,16 @@ def to_memory(df: DataFrame, name: str, mode: str, checkpoint: str) -> Streaming
     return query
 
 
-def to_parquet(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append-only results as files; the checkpoint makes each batch count once."""
-    return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+def to_parquet(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """Append-only results of all that is there now, as files in the shared folder; the checkpoint makes each batch count once."""
+    place = scratch(spark)
+    df.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{place}/out")
+
+
+def updates_to_parquet(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """The changed rows of each batch as files, with the batch's number; a batch that is run again replaces its own folder."""
+    place = scratch(spark)
+    put = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{place}/out/batch={batch}")
+    df.writeStream.foreachBatch(put).option("checkpointLocation", f"{place}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{place}/out")
