@@ -1,7 +1,10 @@
+import random
+
+import numpy as np
 import pytest
 
 from weft.llm import buckets, substring_dedup
-from weft.llm.substring_dedup import LENGTH, remove_repeats
+from weft.llm.substring_dedup import KEY, LENGTH, WINDOW, _triggered, remove_repeats, repeated
 
 
 def brute(rows):
@@ -17,7 +20,7 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize(("bucket", "spread"), [(8 << 20, 256), (20_000, 256), (20_000, 2)])
+@pytest.mark.parametrize(("bucket", "spread"), [(8 << 20, 1 << 17), (20_000, 1 << 17), (20_000, 2)])
 def test_against_all_strings(spark, small, odd, monkeypatch, bucket, spread):
     monkeypatch.setattr(buckets, "BUCKET_BYTES", bucket)
     monkeypatch.setattr(substring_dedup, "SPREAD", spread)
@@ -33,3 +36,38 @@ def test_edges(odd, empty):
     sizes = sorted(len((r["text"] or "").encode()) for r in rows)
     assert sorted(len(r["kept"]) + sum(x["end"] - x["start"] for x in r["spans"]) for r in got) == sizes
     assert remove_repeats(empty).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_combined_order_against_strings(seed):
+    """Phrases of few triggers with few different surroundings, zero bytes too: the repeats are those of the strings themselves."""
+    rng = random.Random(seed)
+    left, key, right = ([bytes(rng.choice(b"\0\0ab") for _ in range(n)) for _ in range(k)] for n, k in ((WINDOW, 3), (KEY, 2), (LENGTH, 3)))
+    place, sizes, data = [], [], []
+    for _ in range(60):
+        a, b = sorted((rng.randrange(WINDOW), rng.randrange(WINDOW)))
+        text = rng.choice(left)[:b] if rng.random() < 0.3 else rng.choice(left)[WINDOW - b :]
+        tail = LENGTH - a - KEY
+        follow = rng.choice(right)
+        follow = follow[: rng.randrange(LENGTH)] + rng.choice(right)
+        place.append(b)
+        data.append(text + rng.choice(key) + follow[:tail])
+        sizes.append(len(data[-1]))
+    place, sizes = np.array(place), np.array(sizes)
+    phrase, offset = repeated(np.frombuffer(b"".join(data), np.uint8), np.cumsum(sizes) - sizes, sizes, place)
+    seen, want = set(), set()
+    for i, text in enumerate(data):
+        for o in range(len(text) - LENGTH + 1):
+            string = (int(place[i]) - o, text[o : o + LENGTH])
+            if string in seen:
+                want.add((i, o))
+            seen.add(string)
+    assert set(zip(phrase.tolist(), offset.tolist(), strict=True)) == want and want
+
+
+def test_triggers_stay_whole(monkeypatch):
+    monkeypatch.setattr("weft.llm.substring_dedup.SORTED", 3)
+    hashes = np.array([5, 1, 5, 2, 2, 9, 1, 1, 1, 7, 5], np.uint64)
+    parts = [p.tolist() for p in _triggered(hashes)]
+    assert sorted(i for p in parts for i in p) == [0, 1, 2, 3, 4, 6, 7, 8, 10]
+    assert all(len({k for k, p in enumerate(parts) if {i for i in p if hashes[i] == h}}) <= 1 for h in set(hashes.tolist()))

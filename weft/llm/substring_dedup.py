@@ -1,4 +1,4 @@
-"""Removal of repeated 100-byte strings by prefix-free parsing and sorted dictionary suffixes.
+"""Removal of repeated 100-byte strings by prefix-free parsing: suffixes of the dictionary and of the parse, combined.
 
 Parsing: a rolling hash of KEY bytes triggers where it is the leftmost least of
 a window of such hashes; the window is as wide as makes every string of LENGTH
@@ -6,20 +6,29 @@ bytes hold a trigger. So each such string belongs to the phrase of its own
 trigger, which depends on its bytes alone, and equal strings sit at equal places
 of phrases with equal triggers.
 
-Dictionary: phrases of triggers that occur once in the corpus, most of them, are
-done. Of the others a bucket sends each distinct phrase once, with its first
-place. Parse: of equal phrases all but the first place are repeats as they
-stand. For phrases that share only the trigger, the dictionary's suffixes, cut at
-LENGTH bytes, are sorted within their trigger and distance to it; equal
-neighbours are equal strings, and all but the first place are repeats.
-
-A trigger that is in so many buckets that its phrases might not fit a task is
-resolved string by string instead: its strings are dealt out by two independent
-64-bit hashes of theirs, so equal strings meet and different ones spread.
+A string is then two parts: what is left of its trigger, a suffix of the
+dictionary's phrase that ends there, and what follows from the trigger on, a
+prefix of a suffix of the parse. Both are sorted by their bytes, with the length
+of the prefix that neighbours share: the parse's suffixes from the trigger on
+(which brings equal triggers together), and the dictionary's from the trigger
+backwards, which sorts its suffixes of every length at once. For each distance
+to the trigger the two orders' runs of equal parts are combined, and within a
+pair of runs the strings stand in the order of the corpus: all but the first are
+repeats. Parts longer than a string of LENGTH bytes can need are not sorted.
+
+A phrase takes part once a bucket, with its first place; of equal phrases in a
+bucket all but the first are repeats as they stand. Phrases of triggers that
+occur once in the corpus, most of them, never leave their bucket.
+
+A trigger that occurs so often that its phrases might not fit a task is resolved
+string by string instead: its strings are dealt out by a hash, so equal strings
+meet and different ones spread, and are told apart by their bytes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,36 +40,29 @@ from weft.llm.common import release, table
 LENGTH = 100
 KEY = 37
 WINDOW = LENGTH - KEY + 1
-#: Occurrences of a trigger, two a bucket at most, from which its strings are dealt out one by one.
-SPREAD = 256
+#: Occurrences of a trigger from which its strings are dealt out one by one.
+SPREAD = 1 << 17
 #: Bytes that are hashed at a time.
 BLOCK = 1 << 15
-#: Dictionary suffixes that are sorted at a time, but for a single trigger's.
-SORTED = 400_000
+#: Phrases that are sorted at a time, but for a single trigger's; SPREAD bounds those.
+SORTED = 1 << 16
 #: Order of rows without an id: after all others.
 LAST = np.iinfo(np.int64).max
 
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-
-
-def _powers(base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(BLOCK + LENGTH + 1, base, np.uint64)
-    down = np.full(BLOCK + LENGTH + 1, np.uint64(pow(int(base), -1, 1 << 64)), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_UP = np.full(BLOCK + LENGTH + 1, _BASE, np.uint64)
+_DOWN = np.full(BLOCK + LENGTH + 1, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)
+_UP[0] = _DOWN[0] = 1
+_UP, _DOWN = np.cumprod(_UP), np.cumprod(_DOWN)
 
-_POWERS = [_powers(b) for b in _BASES]
 
-
-def rolling(data: np.ndarray, size: int, base: int = 0) -> np.ndarray:
+def rolling(data: np.ndarray, size: int) -> np.ndarray:
     """64-bit hashes of all strings of `size` bytes, the same wherever a string stands."""
-    up, down = _POWERS[base]
     out = np.empty(max(0, len(data) - size + 1), np.uint64)
     for i in range(0, len(out), BLOCK):
         part = data[i : i + BLOCK + size - 1]
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)])])
-        h = (sums[size:] - sums[:-size]) * down[: len(part) - size + 1]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _UP[: len(part)])])
+        h = (sums[size:] - sums[:-size]) * _DOWN[: len(part) - size + 1]
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         out[i : i + BLOCK] = h ^ (h >> np.uint64(32))
@@ -142,8 +144,7 @@ class Bucket:
 def _lists(layout: Layout):
     def run(key, data):
         part, rest, counts, _ = split_keys(Bucket(data).hash, layout)
-        # A bucket counts as one where a trigger occurs once, and as one more where it occurs again.
-        return lists(key[0].as_py(), part, rest, np.minimum(counts, 2))
+        return lists(key[0].as_py(), part, rest, counts)
 
     return run
 
@@ -176,9 +177,9 @@ def _phrases(layout: Layout, deals: int):
         count = parse.last[wide] - parse.first[wide] + 1
         text = np.repeat(parse.text[wide], count)
         start = np.repeat(parse.first[wide] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        one, two = (rolling(parse.data, LENGTH, k)[start] if len(start) else np.zeros(0, np.uint64) for k in range(2))
-        start = start - parse.edges[text]
-        send((one % np.uint64(deals)).astype(np.int64), one, text, start, np.zeros(len(text), np.int64), np.zeros(len(text), np.int64), lambda at: two[at].tobytes(), True)
+        code = rolling(parse.data, LENGTH)[start] if len(start) else np.zeros(0, np.uint64)
+        nothing = np.zeros(len(text), np.int64)
+        send((code % np.uint64(deals)).astype(np.int64), code, text, start - parse.edges[text], nothing, nothing, lambda at: b"".join(parse.raw[i : i + LENGTH] for i in start[at].tolist()), True)
         return pa.table({name: pa.array(values, kind) for (name, values), kind in zip(rows.items(), (pa.int32(), pa.int32(), *[pa.binary()] * 8, pa.bool_()), strict=True)})
 
     return run
@@ -203,84 +204,91 @@ def _distinct(parse: Bucket, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _resolve(data):
     """Of the phrases of one deal, the strings that also start earlier: runs (text, first, last) for each bucket."""
-    found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    found = []
     for spread in (False, True):
         rows = [r for r in data.to_pylist() if r["spread"] == spread]
         if not rows:
             continue
         joined = lambda name, kind, rows=rows: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
-        hashes, text, ids, rids, first, place, sizes = joined("hash", np.uint64), joined("text", np.int32), joined("id", np.int64), joined("rid", np.int64), joined("first", np.int64), joined("place", np.uint8).astype(np.int64), joined("sizes", np.uint8).astype(np.int64)
-        bucket = np.repeat([r["bucket"] for r in rows], [len(r["text"]) // 4 for r in rows])
+        text, first = joined("text", np.int32), joined("first", np.int64)
+        bucket = np.repeat(np.array([r["bucket"] for r in rows], np.int32), [len(r["text"]) // 4 for r in rows])
         content = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
-        earlier = np.lexsort((first, rids, ids))
-        rank = np.empty(len(earlier), np.int64)
-        rank[earlier] = np.arange(len(earlier))
+        earlier = np.lexsort((first, joined("rid", np.int64), joined("id", np.int64)))
         if spread:
-            two = content.view(np.uint64)
-            order = np.lexsort((rank, two, hashes))
-            again = order[1:][(hashes[order[1:]] == hashes[order[:-1]]) & (two[order[1:]] == two[order[:-1]])]
-            repeats = [(again, first[again])]
-        else:
-            order = np.lexsort((rank, hashes))
-            alone = np.ones(len(order), bool)
-            same = hashes[order[1:]] == hashes[order[:-1]]
-            alone[1:][same] = False
-            alone[:-1][same] = False
-            order = order[~alone]
-            begins = np.cumsum(sizes) - sizes
-            groups = np.flatnonzero(np.concatenate([[True], hashes[order[1:]] != hashes[order[:-1]]])) if len(order) else np.zeros(0, np.int64)
-            repeats, taken, from_ = [], 0, 0
-            counts = np.concatenate([[0], np.cumsum(sizes[order] - LENGTH + 1)])
-            ends = np.append(groups[1:], len(order))
-            for end in ends:
-                if counts[end] - counts[from_] >= SORTED or end == len(order):
-                    repeats.append(_repeated(order[from_:end], hashes, rank, place, sizes, begins, content, first))
-                    from_ = end
-        for row, start in repeats:
-            for b in np.unique(bucket[row]):
-                at = bucket[row] == b
-                found.setdefault(int(b), []).append((text[row[at]], start[at]))
-    out: dict[str, list] = {"bucket": [], "text": [], "first": [], "last": []}
-    for b, parts in found.items():
-        text, start = np.concatenate([t for t, _ in parts]).astype(np.int64), np.concatenate([s for _, s in parts])
-        order = np.lexsort((start, text))
-        text, start = text[order], start[order]
-        run = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (start[1:] > start[:-1] + 1)]))
-        out["bucket"].append(b)
-        out["text"].append(text[run].astype(np.int32).tobytes())
-        out["first"].append(start[run].tobytes())
-        out["last"].append(start[np.append(run[1:], len(start)) - 1].tobytes())
-    return pa.table({name: pa.array(values, pa.int32() if name == "bucket" else pa.binary()) for name, values in out.items()})
-
-
-def _repeated(some, hashes, rank, place, sizes, begins, content, first):
-    """Rows and starts of the strings of some phrases, whole triggers, that stand in an earlier place too: the suffixes cut at LENGTH, sorted by trigger, distance, bytes and place."""
-    count = sizes[some] - LENGTH + 1
-    row = np.repeat(some, count)
-    offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    code = rolling(content, LENGTH)[begins[row] + offset]
-    distance = place[row] - offset
-    while True:
-        order = np.lexsort((rank[row], distance, code, hashes[row]))
-        if _alike(*(x[order] for x in (row, offset, code, distance)), hashes, begins, content):
-            break
-        # Two different strings with one hash: number the strings themselves.
-        strings = content[(begins[row] + offset)[:, None] + np.arange(LENGTH)]
-        code = np.unique(np.ascontiguousarray(strings).view(f"V{LENGTH}").ravel(), return_inverse=True)[1].astype(np.uint64)
-    row, offset, code, distance = row[order], offset[order], code[order], distance[order]
-    same = (hashes[row[1:]] == hashes[row[:-1]]) & (code[1:] == code[:-1]) & (distance[1:] == distance[:-1])
-    at = np.flatnonzero(same) + 1
-    return row[at], first[row[at]] + offset[at]
-
-
-def _alike(row, offset, code, distance, hashes, begins, content) -> bool:
-    """Whether neighbours with equal codes are equal byte for byte."""
-    same = np.flatnonzero((hashes[row[1:]] == hashes[row[:-1]]) & (code[1:] == code[:-1]) & (distance[1:] == distance[:-1]))
-    for i in range(0, len(same), 1 << 16):
-        a, b = (begins[row[same[i : i + (1 << 16)] + k]] + offset[same[i : i + (1 << 16)] + k] for k in (0, 1))
-        if not (content[a[:, None] + np.arange(LENGTH)] == content[b[:, None] + np.arange(LENGTH)]).all():
-            return False
-    return True
+            strings = np.unique(content.view(f"S{LENGTH}")[earlier], return_inverse=True)[1]
+            order = np.argsort(strings, kind="stable")
+            at = earlier[order[1:][strings[order[1:]] == strings[order[:-1]]]]
+            found.append((bucket[at], text[at], first[at]))
+            continue
+        place, sizes = joined("place", np.uint8).astype(np.int64), joined("sizes", np.uint8).astype(np.int64)
+        begins = np.cumsum(sizes) - sizes
+        for some in _triggered(joined("hash", np.uint64)[earlier]):
+            at = earlier[some]
+            phrase, offset = repeated(content, begins[at], sizes[at], place[at])
+            found.append((bucket[at[phrase]], text[at[phrase]], first[at[phrase]] + offset))
+    bucket, text, start = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]).astype(np.int64) for k in range(3))
+    order = np.lexsort((start, text, bucket))
+    bucket, text, start = bucket[order], text[order], start[order]
+    run = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (text[1:] != text[:-1]) | (start[1:] > start[:-1] + 1)])[: len(order)])
+    last = start[np.append(run[1:], len(order)) - 1] if len(run) else run
+    edges = np.flatnonzero(np.diff(bucket[run], prepend=-1))
+    ends = np.append(edges[1:], len(run))[: len(edges)]
+    cut = lambda values: pa.array([values[a:b].tobytes() for a, b in zip(edges, ends, strict=True)], pa.binary())
+    return pa.table({"bucket": pa.array(bucket[run][edges], pa.int32()), "text": cut(text[run].astype(np.int32)), "first": cut(start[run]), "last": cut(last)})
+
+
+def _triggered(hashes: np.ndarray) -> Iterator[np.ndarray]:
+    """The phrases of triggers that have several, whole triggers and about SORTED phrases at a time, each time in their order."""
+    order = np.argsort(hashes, kind="stable")
+    ordered = hashes[order]
+    groups = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(order) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(groups, len(order)))
+    order, counts = order[np.repeat(counts > 1, counts)], counts[counts > 1]
+    ends = np.cumsum(counts)
+    start = 0
+    while start < len(order):
+        end = int(ends[min(np.searchsorted(ends, start + SORTED), len(ends) - 1)])
+        yield np.sort(order[start:end])
+        start = end
+
+
+def _sorted(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows by their bytes, and the length of the prefix that each shares with the one before it (-1 for the first)."""
+    order = np.argsort(strings.view(f"S{strings.shape[1]}").ravel())
+    common = np.full(len(order), -1, np.int64)
+    for i in range(0, len(order) - 1, 1 << 13):
+        differ = strings[order[i + 1 : i + 1 + (1 << 13)]] != strings[order[i : i + (1 << 13)]][: len(order) - 1 - i]
+        common[i + 1 : i + 1 + len(differ)] = np.where(differ.any(axis=1), differ.argmax(axis=1), strings.shape[1])
+    return order, common
+
+
+def repeated(content: np.ndarray, begins: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases and offsets of the strings that stand in an earlier phrase too. Phrase i has sizes[i] bytes of the content from begins[i], its trigger at place[i]; phrases are in the order of the corpus."""
+    n, trigger = len(begins), begins + place
+    after, before = np.zeros((n, LENGTH), np.uint8), np.zeros((n, WINDOW), np.uint8)
+    for i in range(0, n, 1 << 13):
+        part = slice(i, i + (1 << 13))
+        for held, step, most in ((after, np.arange(LENGTH), sizes - place), (before, -1 - np.arange(WINDOW), place)):
+            at = np.clip(trigger[part, None] + step, 0, len(content) - 1)
+            held[part] = np.where(np.arange(held.shape[1]) < most[part, None], content[at], 0)
+    (parse, parse_common), (dictionary, dictionary_common) = _sorted(after), _sorted(before)
+    del after, before
+    bits = np.uint64(max(1, n.bit_length()))
+    ahead, behind, index = np.empty(n, np.uint64), np.empty(n, np.uint64), np.arange(n, dtype=np.uint64)
+    phrases, offsets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for distance in range(WINDOW):
+        # Bytes beyond a phrase's end are 0 in the sorted rows, but phrases that hold a string at this distance have all that it needs.
+        holds = (distance <= place) & (place - distance <= sizes - LENGTH)
+        if np.count_nonzero(holds) < 2:
+            continue
+        ahead[parse] = np.cumsum(parse_common < LENGTH - distance)
+        behind[dictionary] = np.cumsum(dictionary_common < distance)
+        key = np.sort((((behind << bits) | ahead) << bits | index)[holds])
+        again = key[1:][key[1:] >> bits == key[:-1] >> bits]
+        phrase = (again & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        phrases.append(phrase)
+        offsets.append(place[phrase] - distance)
+    return np.concatenate(phrases), np.concatenate(offsets)
 
 
 RESULT = "doc_id {}, rid long, kept binary, spans array<struct<start:long,end:long>>"
