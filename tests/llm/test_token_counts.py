@@ -2,6 +2,7 @@ import public_tokenizers as P
 from hypothesis import given
 from hypothesis import strategies as st
 
+from weft.llm import token_counts
 from weft.llm.token_counts import MARK, Trie, count, unigram
 
 PATH = P.path("piece_bpe_32k.model")
@@ -45,3 +46,13 @@ def test_whole_table(odd, small, empty):
         want = sorted((str(r["doc_id"]), sum(known[w] for w in (r["text"] or "").split()), len((r["text"] or "").split())) for r in rows)
         assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_pretokens"]) for r in count(docs, PATH).collect()) == want
     assert count(empty, PATH).count() == 0
+
+
+def test_long_words_stay_out_of_the_trie(monkeypatch):
+    scores = {"a": -2.0, "ab": -2.5, "abc": -2.9, "b": -3.0, "ca": -2.2, "abab": -4.0}
+    words = ["abc" * 400, "abab" * 301 + "x" + "ca" * 100, "xyz" * 100, "é" + "ab" * 300]
+    monkeypatch.setattr(token_counts, "DEPTH", 10_000)
+    whole = [token_counts.Trie(scores).count(w) for w in words]
+    monkeypatch.setattr(token_counts, "DEPTH", 5)
+    trie = token_counts.Trie(scores)
+    assert [trie.count(w) for w in words] == whole and len(trie.best) <= 1 + 5 * len(words)

@@ -4,7 +4,8 @@ The distinct pre-tokens (words between white space, with the word mark before
 them) of a worker go into one trie. A node stands for a prefix and holds the
 best unigram score and the number of tokens of that prefix, computed once from
 its ancestors, however many words share it; a word's count is the value at its
-last node.
+last node. Beyond its first DEPTH characters a word is carried on outside the
+trie, with as many scores as the longest token asks for.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Nodes that a worker's trie holds at most; beyond that it starts anew, so memory is bounded.
 NODES = 600_000
+#: Characters of a word that go into the trie.
+DEPTH = 256
 
 
 @lru_cache(maxsize=4)
@@ -52,14 +55,35 @@ class Trie:
         if len(self.best) > self.nodes:
             self.clear()
         node, path = 0, [0]
-        for depth, character in enumerate(word):
+        for depth, character in enumerate(word[:DEPTH]):
             child = self.children.get((node, character))
             if child is None:
                 child = self.children[node, character] = len(self.best)
                 self._forward(word, depth + 1, path)
             node = child
             path.append(node)
-        return self.tokens[node]
+        return self.tokens[node] if len(word) <= DEPTH else self._beyond(word, path)
+
+    def _beyond(self, word: str, path: list[int]) -> int:
+        """The same forward scores for the rest of a long word; the last ones are kept, and only for this word."""
+        scores, longest = self.scores, self.longest
+        best, tokens, first = [self.best[n] for n in path], [self.tokens[n] for n in path], 0
+        for end in range(len(path), len(word) + 1):
+            most, fewest, found = -1e300, 0, False
+            for start in range(max(0, end - longest), end):
+                if (score := scores.get(word[start:end])) is not None:
+                    found |= start == end - 1
+                    value, number = best[start - first] + score, tokens[start - first] + 1
+                    if value > most or (value == most and number < fewest):
+                        most, fewest = value, number
+            if not found and (value := best[end - 1 - first] + self.unknown) > most:
+                most, fewest = value, tokens[end - 1 - first] + len(word[end - 1].encode(errors="surrogatepass"))
+            best.append(most)
+            tokens.append(fewest)
+            if len(best) > 64 * longest + DEPTH:
+                first = end + 1 - longest
+                del best[:-longest], tokens[:-longest]
+        return tokens[-1]
 
     def _forward(self, word: str, end: int, path: list[int]) -> None:
         scores, best, tokens, found, most, fewest = self.scores, self.best, self.tokens, False, -1e300, 0
@@ -81,7 +105,7 @@ def count(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens long, n_pretokens long of every row and whole text.
 
     Null, empty and blank texts have none. A repeated row is counted again;
-    only doc_id and text are read.
+    only doc_id and text are read. A word may have any length.
     """
     shared = docs.sparkSession.sparkContext.broadcast(unigram(path))  # a vocabulary: its size is fixed
 
