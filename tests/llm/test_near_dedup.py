@@ -102,3 +102,43 @@ def test_slices_change_nothing(monkeypatch):
         assert (a == b).all()
     for a, b in zip(counted(*whole[:2]), counted(*shingles(texts)[:2]), strict=True):
         assert (a == b).all()
+
+
+def exact_links(bags, threshold=0.8):
+    """All pairs of weighted bags at the threshold, by prefixes: rare shingles first, a pair shares one before the rest weighs too little."""
+    held = Counter(s for b in bags for s in b)
+    seen, links = {}, []
+    for i, bag in enumerate(bags):
+        total = rest = sum(bag.values())
+        near = set()
+        for s in sorted(bag, key=lambda s: (held[s], s)):
+            if rest < threshold * total - 1e-9:
+                break
+            rest -= bag[s]
+            near.update(seen.setdefault(s, []))
+            seen[s].append(i)
+        for j in near:
+            other = bags[j]
+            shared = sum(min(w, other[s]) for s, w in bag.items() if s in other)
+            if shared / (total + sum(other.values()) - shared) >= threshold - 1e-9:
+                links.append((j, i))
+    return links
+
+
+def test_recall_on_ten_thousand_documents(spark):
+    """Every pair at the threshold, of 10,000 documents, falls into one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    table = docs.select("doc_id", "text").toArrow()
+    edges, hashes, counts = counted(*shingles(table.column("text").combine_chunks().fill_null(""))[:2])
+    _, which, documents = np.unique(hashes, return_inverse=True, return_counts=True)
+    weight = near_dedup.idf(documents, table.num_rows)[which] * counts
+    bags = [dict(zip(hashes[a:b].tolist(), weight[a:b].tolist(), strict=True)) for a, b in zip(edges, edges[1:], strict=False)]
+    first = {}
+    for i, bag in enumerate(bags):
+        first.setdefault(frozenset(bag.items()), i)
+    chosen = sorted(first.values())
+    links = exact_links([bags[i] for i in chosen])
+    got = {r["doc_id"]: r["class_id"] for r in classes(docs).collect()}
+    ids = table.column("doc_id").to_pylist()
+    found = sum(got[ids[chosen[a]]] == got[ids[chosen[b]]] for a, b in links)
+    assert len(links) > 20 and found == len(links)
