@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 
 from weft.llm import toxicity
 from weft.llm.toxicity import HIDDEN, STRIDE, WINDOW, Network, Scorer, fit, query, score, sigmoid, train, windows
@@ -61,3 +62,38 @@ def test_edges(spark, odd, empty):
     assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
     assert score(empty, net).count() == 0
     assert all(r["score"] < 0.5 for r in score(odd, fit(odd, labels.limit(0))).collect())
+
+
+def test_network_adds_to_its_evidence():
+    """On held-out rows the network ranks toxic texts better than its evidence inputs do alone, whether a window's sum or its mean is taken."""
+    sf = "/root/testdata/sf0.1"
+    texts = dict(zip(*pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pydict().values(), strict=True))
+    rows = sorted((r["doc_id"], r["toxic"]) for r in pq.read_table(f"{sf}/labels.parquet").to_pylist() if r["doc_id"] in texts)
+    kept = [(i, y) for i, y in rows if zlib.crc32(str(i).encode()) % 5]
+    net = train([texts[i] for i, y in kept if y or i % 2], [y for i, y in kept if y or i % 2])
+    judged = [(i, y) for i, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    y, held = np.array([y for _, y in judged]), pa.array([texts[i] for i, _ in judged])
+    scorer = Scorer(net)
+    words, text, first, size = scorer.windows(held)
+    x = net.features(list(scorer.row))[0]
+
+    def highest(each, mean):
+        sums = np.concatenate([[0], np.cumsum(each[words])])
+        best = np.full(len(y), -np.inf)
+        np.maximum.at(best, text, (sums[first + size] - sums[first]) / (np.maximum(size, 1) if mean else 1))
+        return best
+
+    def ranked(score):
+        """The chance that a toxic text scores above another."""
+        return np.mean(score[y == 1][:, None] > score[y == 0]) + np.mean(score[y == 1][:, None] == score[y == 0]) / 2
+
+    alone = [ranked(highest(each, mean)) for each in (x[:, 0], np.maximum(x[:, :3], 0).sum(axis=1)) for mean in (False, True)]
+    assert ranked(scorer.score(held)) > max(alone) + 0.02, alone
+
+
+def test_evidence_is_of_other_folds():
+    """A text's own fold is left out: a key that only that fold's texts hold is no evidence for them."""
+    docs, labels, folds = [np.array([0, 1])] * 6 + [np.array([1])] * 6, np.array([1] * 6 + [0] * 6), np.array([0] * 6 + [1] * 6)
+    found = toxicity.counts(docs, labels, folds, 2)
+    whole, other = toxicity.evidence(found.sum(axis=0), np.array([6, 6])), toxicity.evidence(found.sum(axis=0) - found[0], np.array([6, 0]))
+    assert whole[0] > 1 and other[0] == 0

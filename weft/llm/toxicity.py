@@ -5,11 +5,15 @@ how much more often the word and its n-grams stand in toxic training texts. Two
 recurrent passes read a window of words, attention pools their states, and a
 text scores as its highest window; windows overlap and cover the whole text.
 The network is trained in numpy on a bounded sample: each epoch takes the
-windows that score highest at present.
+windows that score highest at present. In training a text's evidence comes from
+the other texts' folds alone, so the network learns how far to trust it.
 """
 
 from __future__ import annotations
 
+import copy
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,6 +32,8 @@ WORDS, GRAMS = 20_000, 1 << 16
 EPOCHS, BATCH, RATE = 8, 128, 0.01
 #: Texts of a class that a word or n-gram must be in to count for the evidence.
 SUPPORT = 4
+#: Parts of the sample; equal texts are in one.
+FOLDS = 5
 #: Words whose inputs a worker remembers; beyond that it starts anew.
 REMEMBERED = 150_000
 #: Words whose n-grams are looked up at a time.
@@ -89,6 +95,12 @@ class Network:
         for way in "fb":
             self.p |= {f"x{way}": normal(size, 3 * HIDDEN), f"h{way}": normal(HIDDEN, 3 * HIDDEN), f"c{way}": np.zeros(3 * HIDDEN, np.float32)}
 
+    def trusting(self, word_evidence: np.ndarray, gram_evidence: np.ndarray) -> Network:
+        """The same parameters with other evidence."""
+        other = copy.copy(self)
+        other.word_evidence, other.gram_evidence = word_evidence.astype(np.float32), gram_evidence.astype(np.float32)
+        return other
+
     # Inputs
 
     def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -225,14 +237,18 @@ class Scorer:
         return sigmoid(best)
 
 
-def evidence(docs: list[np.ndarray], labels: np.ndarray, keys: int) -> np.ndarray:
-    """Log odds of a key's share of toxic and other texts, shrunk; 0 for rare keys."""
-    counts = np.zeros((2, keys + 1))
-    for doc, label in zip(docs, labels, strict=True):
-        counts[int(label), doc] += 1
-    total = np.bincount(labels, minlength=2)[:, None] + 2
-    odds = np.log((counts[1] + 1) / total[1]) - np.log((counts[0] + 1) / total[0])
-    return np.where(counts.sum(axis=0) >= SUPPORT, odds, 0.0)
+def counts(docs: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, keys: int) -> np.ndarray:
+    """The texts that hold a key, by fold and label."""
+    found = np.zeros((FOLDS, 2, keys + 1), np.int32)
+    for doc, label, fold in zip(docs, labels, folds, strict=True):
+        found[fold, label, doc] += 1
+    return found
+
+
+def evidence(held: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Log odds of a key's share of toxic and other texts, shrunk; 0 for rare keys. held: texts with the key by label; texts: all by label."""
+    odds = np.log((held[1] + 1) / (texts[1] + 2)) - np.log((held[0] + 1) / (texts[0] + 2))
+    return np.where(held.sum(axis=0) >= SUPPORT, odds, 0.0)
 
 
 def train(texts: list[str], labels: list[int], prior: float | None = None) -> Network:
@@ -251,9 +267,14 @@ def train(texts: list[str], labels: list[int], prior: float | None = None) -> Ne
     slot, of = grams(seen)
     starts = np.searchsorted(of, np.arange(len(seen) + 1))
     slot_docs = [np.unique(np.concatenate([np.zeros(0, np.uint16), *(slot[starts[w] : starts[w + 1]] for w in words)])).astype(np.int64) for words in distinct]
-    network = Network(vocabulary, evidence([k[k >= 0] for k in (number[words] for words in distinct)], y, len(vocabulary)), evidence(slot_docs, y, GRAMS)[:GRAMS])
-    del slot, of, slot_docs, distinct, coded
-    network.word_evidence[-1] = 0
+    fold = np.array([zlib.crc32((t or "").encode(errors="surrogatepass")) % FOLDS for t in texts], np.int64)
+    by_word, by_slot = counts([k[k >= 0] for k in (number[words] for words in distinct)], y, fold, len(vocabulary)), counts(slot_docs, y, fold, GRAMS)
+    size = np.stack([np.bincount(y[fold == f], minlength=2) for f in range(FOLDS)])
+    of_words, of_slots = [np.stack([evidence(c.sum(axis=0) - part, size.sum(axis=0) - n) for part, n in zip([*c, 0], [*size, 0], strict=True)]) for c in (by_word, by_slot)]  # the last one: all folds
+    of_words[:, -1] = 0
+    network = Network(vocabulary, of_words[-1], of_slots[-1][:GRAMS])
+    views = [network.trusting(of_words[f], of_slots[f][:GRAMS]) for f in range(FOLDS)]
+    del slot, of, slot_docs, distinct, coded, by_word, by_slot
     if len(set(labels)) < 2:
         network.p["w"][:], network.p["b"][0] = 0, (4.0 if labels and labels[0] else -4.0)
         return network
@@ -262,27 +283,41 @@ def train(texts: list[str], labels: list[int], prior: float | None = None) -> Ne
     scorer = Scorer(network, len(seen))
     rows, text, first, size = scorer.windows(array)
     names = list(scorer.row)
-    x, vocabulary_row, slot, of = network.features(names)
+    _, vocabulary_row, slot, of = network.features(names)
+    n_grams = np.bincount(of, minlength=len(names)).astype(np.float32)
+    trusted = [view.features(names)[0][:, :3] for view in views]
+
+    def values() -> np.ndarray:
+        """The windows' logits, each text's by the evidence of the other folds."""
+        out = np.empty(len(text), np.float32)
+        for f in range(FOLDS):
+            if len(some := np.flatnonzero(fold == f)):
+                out[fold[text] == f] = Scorer(views[f], len(seen)).logits(array.take(pa.array(some)))[1]
+        return out
+
     for epoch in range(EPOCHS):
         if epoch:
-            value = Scorer(network, len(seen)).logits(array)[1]
+            value = values()
         else:  # the window with most evidence
-            sums = np.concatenate([[0], np.cumsum(np.maximum(x[:, :3], 0).sum(axis=1)[rows])])
-            value = sums[first + size] - sums[first]
+            value = np.empty(len(text), np.float32)
+            for f in range(FOLDS):
+                sums = np.concatenate([[0], np.cumsum(np.maximum(trusted[f], 0).sum(axis=1)[rows])])
+                value[fold[text] == f] = (sums[first + size] - sums[first])[fold[text] == f]
         order = np.lexsort((-value, text))
         rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
         chosen = order[(rank == 0) | ((y[text[order]] == 0) & ((rank == 1) | (rng.random(len(order)) < 0.05)))]
         rng.shuffle(chosen)
-        n_grams = np.bincount(of, minlength=len(names)).astype(np.float32)
-        for i in range(0, len(chosen), BATCH):
-            some = chosen[i : i + BATCH]
+        batches = [part[i : i + BATCH] for f in range(FOLDS) for part in [chosen[fold[text[chosen]] == f]] for i in range(0, len(part), BATCH)]
+        for k in rng.permutation(len(batches)):
+            some = batches[k]
+            x = trusted[fold[text[some[0]]]]
             mask = np.arange(WINDOW) < size[some, None]
             at = np.concatenate([rows, [0]])[np.where(mask, first[some, None] + np.arange(WINDOW), len(rows))]
             used, inverse = np.unique(at, return_inverse=True)
             of_used = np.isin(of, used)
             back = np.searchsorted(used, of[of_used])
             edges = np.searchsorted(back, np.arange(len(used)))
-            now = np.concatenate([x[used, :3], network.p["words"][vocabulary_row[used]], np.add.reduceat(network.p["grams"][slot[of_used]], edges, axis=0) / n_grams[used, None]], axis=1)
+            now = np.concatenate([x[used], network.p["words"][vocabulary_row[used]], np.add.reduceat(network.p["grams"][slot[of_used]], edges, axis=0) / n_grams[used, None]], axis=1)
             inputs = {way: (now @ network.p[f"x{way}"] + network.p[f"c{way}"])[inverse.reshape(at.shape)] for way in "fb"}
             g, inputs_d = network.gradients(inputs, mask, y[text[some]].astype(np.float32), np.array([rate[k] for k in y[text[some]]], np.float32))
             now_d = np.zeros_like(now)
@@ -302,8 +337,7 @@ def train(texts: list[str], labels: list[int], prior: float | None = None) -> Ne
                 network.p[name] -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
     # The bias by which most of the sample, at the classes' true shares, falls on its side of 0.5.
     best = np.full(len(y), -np.inf)
-    text, logit = Scorer(network, len(seen)).logits(array)
-    np.maximum.at(best, text, logit)
+    np.maximum.at(best, text, values())
     share = y.mean() if prior is None else prior
     weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum()))
     order = np.argsort(best)
