@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from weft.operators.aggregate import quantiles
 from weft.operators.join import as_of, within
 from weft.sources.tables import read, table, write
 
@@ -17,6 +20,29 @@ def test_as_of_with_nulls_and_ties(spark):
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_as_of_in_any_bins(spark):
+    """The bins' width changes nothing, nor does a null time; a key's first bins have no right row, later ones take it from bins before."""
+    left = spark.createDataFrame([(i % 3, (i * 37) % 500 - 100, i) for i in range(300)] + [(0, None, -1)], "k int, t int, i int")
+    rows = [(j % 2, (j * 53) % 400, j) for j in range(40)]
+    right = spark.createDataFrame([*rows, (0, None, 99)], "k int, t int, v int")
+    last = lambda k, t: max(((at, v) for key, at, v in rows if key == k and at <= t), default=(0, None))[1]
+    want = {(i, last(i % 3, (i * 37) % 500 - 100)) for i in range(300)} | {(-1, None)}
+    for seconds in (1, 60, 86400):
+        got = [(r["i"], r["v"]) for r in as_of(left, right, ["k"], "t", ["v"], seconds).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_quantiles_against_the_engine(spark):
+    """Few and many values, ties, one hot key, null keys and values, a key of nulls alone; few bins and many."""
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 1, 1, 2]), rng.choice([0.0, -1.5, rng.random() * 100, rng.expovariate(9)])) for _ in range(3000)] + [(None, float(i % 7)) for i in range(50)] + [(3, 2.0), (1, None), (4, None)]
+    df = spark.createDataFrame(rows, "k int, x double")
+    want = df.groupBy("k").agg(F.median("x").alias("m"), F.percentile("x", 0.9).alias("p"), F.expr("percentile_disc(0.25) WITHIN GROUP (ORDER BY x)").alias("d"), F.expr("percentile_disc(0.0) WITHIN GROUP (ORDER BY x)").alias("z"))
+    plain = lambda rows: sorted(str([None if v is None else round(v, 9) for v in r]) for r in rows.collect())
+    assert plain(quantiles(df, ["k"], "x", {"m": 0.5, "p": 0.9}, {"d": 0.25, "z": 0.0})) == plain(want)
+    assert quantiles(df.limit(0), ["k"], "x", {"m": 0.5}, {}).count() == 0
+
+
 def test_within_finds_each_pair_once(spark):
     left = spark.range(50).selectExpr("1 AS k", "timestamp_seconds(id * 37) AS a", "id AS i")
     right = spark.range(50).selectExpr("1 AS k", "timestamp_seconds(id * 23) AS b", "id AS j")

@@ -10,18 +10,30 @@ from weft.plans.catalog import query
 from weft.sources.tables import sql, table
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str], seconds: int = 86400) -> DataFrame:
     """Each left row with `values` of the last right row of the same key at or before it, nulls where there is none.
 
-    One shuffle on the keys, no join: both sides are one sorted stream, and a
-    window carries the last right row forward. Of right rows with one time, the
-    greatest values hold.
+    No join: both sides are one stream, and a window carries the last right row
+    forward. It is cut into time bins of `seconds`, so that one key's history
+    spreads over tasks; a bin starts with the last right row of the bins before
+    it, found among one row a key and bin. Of right rows with one time, the
+    greatest values hold. A null key is a key like others; a null time matches nothing.
     """
     row = F.struct(*values)
-    one = left.select(F.lit(1).alias("_side"), *by, at, F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.select(row.alias("x")).schema["x"].dataType).alias("_right"))
-    two = right.select(F.lit(0).alias("_side"), *by, at, F.lit(None).cast(one.schema["_left"].dataType).alias("_left"), row.alias("_right"))
-    order = W.partitionBy(*by).orderBy(at, "_side", "_right").rowsBetween(W.unboundedPreceding, 0)
-    return one.unionByName(two).withColumn("_last", F.last("_right", ignorenulls=True).over(order)).where("_side = 1").select("_left.*", *[F.col("_last")[v].alias(v) for v in values])
+    whole = F.struct(*left.columns)
+    bin_of = F.floor(F.unix_micros(F.col(at).cast("timestamp")) / (seconds * 1_000_000)).alias("_bin")
+    kind = {name: side.select(c.alias("x")).schema["x"].dataType for name, side, c in (("left", left, whole), ("right", right, row))}
+    nothing = {name: F.lit(None).cast(t).alias(f"_{name}") for name, t in kind.items()}
+    one = left.select(F.lit(2).alias("_side"), *by, at, bin_of, whole.alias("_left"), nothing["right"])
+    two = right.where(F.col(at).isNotNull()).select(F.lit(1).alias("_side"), *by, at, bin_of, nothing["left"], row.alias("_right"))
+    ends = two.groupBy(*by, "_bin").agg(F.max(F.struct(at, "_right")).alias("_end"))
+    bins = ends.unionByName(one.select(*by, "_bin").distinct().withColumn("_end", F.lit(None).cast(ends.schema["_end"].dataType)))
+    before = W.partitionBy(*by).orderBy("_bin").rangeBetween(W.unboundedPreceding, -1)
+    carried = bins.withColumn("_before", F.last("_end", ignorenulls=True).over(before)).where("_before IS NOT NULL").groupBy(*by, "_bin").agg(F.first("_before").alias("_before"))
+    zero = carried.select(F.lit(0).alias("_side"), *by, F.col(f"_before.{at}").alias(at), "_bin", nothing["left"], F.col("_before._right").alias("_right"))
+    order = W.partitionBy(*by, "_bin").orderBy(at, "_side", "_right").rowsBetween(W.unboundedPreceding, 0)
+    stream = one.unionByName(two).unionByName(zero).withColumn("_last", F.last("_right", ignorenulls=True).over(order))
+    return stream.where("_side = 2").select("_left.*", *[F.col("_last")[v].alias(v) for v in values])
 
 
 def within(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, seconds: int) -> DataFrame:
