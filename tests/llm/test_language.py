@@ -58,3 +58,12 @@ def test_edges(spark, odd, empty, model):
     assert fit(empty).languages == [] and {r["lang_pred"] for r in identify(odd, fit(empty)).collect()} == {"und"}
     kept = stage(spark, odd, "")
     assert kept.columns == odd.columns and kept.count() == odd.count() - 6
+
+
+def test_fit_is_bounded(spark):
+    """Of a dirty column the most frequent languages are learned; very long texts are taken less often, and whole."""
+    rows = [(i, f"word{i} here", f"x{i}") for i in range(50)] + [(100 + i, "the cat sat on a mat " * 50, "en") for i in range(40)] + [(200 + i, "der hund liegt im haus " * 50, "de") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(fit(docs, languages=2).languages) == ["de", "en"]
+    assert len(fit(docs).languages) == 52
+    assert fit(docs, languages=2, most=0).languages == []

@@ -41,6 +41,8 @@ SCRIPTS = {
 
 #: Labelled rows of each language that a fit takes, on average (a hash of the id chooses them).
 TRAIN_ROWS = 1000
+#: Languages that a model learns, the most frequent first, and UTF-8 bytes that a fit takes of all of them, on average.
+LANGUAGES, TRAIN_BYTES = 200, 256 << 20
 #: Words and trigrams that a model keeps, the most frequent first.
 MODEL_WORDS = 40_000
 MODEL_TRIGRAMS = 60_000
@@ -228,13 +230,21 @@ class Labeller:
         return [pa.array(names[np.where(total > 0, best, k)], pa.string()), pa.array(np.where(total > 0, share.max(axis=1, initial=0) / np.maximum(total, 1), 0.0)), pa.ListArray.from_arrays(of, spans)]
 
 
-def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """A model of the labelled texts: about `rows` of each language, chosen by a hash of the id. Null languages and texts don't count."""
+def fit(docs: DataFrame, rows: int = TRAIN_ROWS, languages: int = LANGUAGES, most: int = TRAIN_BYTES) -> Model:
+    """A model of the labelled texts: about `rows` of each language, chosen by a hash of the id. Null languages and texts don't count.
+
+    A dirty `lang` column or very long texts don't fill the driver: the
+    `languages` with most rows are learned, and fewer whole texts are taken of a
+    language whose part of `most` bytes they would exceed.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    held = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    held = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    if not held:
+        return Model.fit([], [])
     unit = 1 << 30
-    share = F.create_map(*[x for lang, n in held.items() for x in (F.lit(lang), F.lit(int(unit * min(1.0, rows / n))))]) if held else None
-    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(unit)) < share[F.col("lang")]).toArrow() if held else pa.table({"text": [], "lang": []})
+    share = F.create_map(*[x for r in held for x in (F.lit(r["lang"]), F.lit(int(unit * min(1.0, rows / r["n"], most / len(held) / max(1, r["bytes"])))))])
+    chosen = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(unit)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0))
+    sample = known.where(chosen).toArrow()
     return Model.fit(sample.column("text").to_pylist(), sample.column("lang").to_pylist())
 
 
