@@ -36,7 +36,9 @@ def rotate(turns: DataFrame) -> DataFrame:
     empty; a null role speaks as `unknown`; turns are in the order of `turn`,
     nulls last, ties as they stand in the table, repeated rows stay; rows
     without conv_id are one conversation. A conversation of system turns alone
-    has no perspective, an empty table no rows. Other columns are ignored.
+    has no perspective, an empty table no rows. Other columns are ignored. Texts
+    stand as they are: marks such as `<|end|>` within one are not escaped, and the
+    places, not the marks, say where a piece begins and ends.
     """
     rows = cut(numbered(turns, "conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("by"), F.coalesce("text", F.lit("")).alias("text")))
     speakers = rows.where(F.col("by") != SYSTEM).select(F.col("conv_id").alias("of"), F.col("by").alias("speaker")).distinct()
