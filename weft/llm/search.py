@@ -37,8 +37,12 @@ def terms_of(text: Column) -> Column:
 
 def totals(docs: DataFrame) -> tuple[int, int]:
     """The number of texts with a term, and of all terms."""
-    found = docs.select(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(BETWEEN.replace("[", "[^", 1))).cast("long").alias("n"))
-    row = found.agg(F.count_if(F.col("n") > 0).alias("texts"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lengths = [len((text or b"").translate(FOLDED).split()) for text in batch.column("text").cast(pa.binary()).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array([sum(map(bool, lengths))], pa.int64()), pa.array([sum(lengths)], pa.int64())], ["texts", "terms"])
+
+    row = arrow_map(docs.select("text"), lambda: work, "texts long, terms long").agg(F.coalesce(F.sum("texts"), F.lit(0)).alias("texts"), F.coalesce(F.sum("terms"), F.lit(0)).alias("terms")).first()
     return row["texts"], row["terms"]
 
 
