@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
-
 #: Settings that hold where neither the caller nor spark-submit gives another.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -30,3 +31,14 @@ def session(name: str = "weft", cpus: int | str | None = None, **conf: str) -> S
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """The session's setting for as long as a job runs."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -50,7 +50,11 @@ def read(spark: SparkSession, path: str, kind: str, schema: T.StructType) -> Dat
     return (reader.options(header=True, escape='"') if kind == "csv" else reader).load(path)
 
 
+def plain_times(df: DataFrame) -> DataFrame:
+    """Columns of times without a zone become timestamps, which watermarks ask for."""
+    return df.select(*[F.col(f.name).cast("timestamp").alias(f.name) if isinstance(f.dataType, T.TimestampNTZType) else F.col(f.name) for f in df.schema])
+
+
 def stream(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.parquet") -> DataFrame:
-    """A file stream of a directory. Columns without a zone become timestamps, which watermarks ask for."""
-    df = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path)
-    return df.select(*[F.col(f.name).cast("timestamp").alias(f.name) if isinstance(f.dataType, T.TimestampNTZType) else F.col(f.name) for f in schema])
+    """A file stream of a directory."""
+    return plain_times(spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path))

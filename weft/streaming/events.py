@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from weft.sources.tables import scratch
+from weft.session import setting
+from weft.sources.tables import plain_times, scratch
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:
@@ -67,6 +68,112 @@ def running_totals(events: DataFrame, idle: int | None = None, late: str = "1 ho
     return grouped.applyInPandasWithState(update, "user_id long, n long, top double", "n long, top double, last long", "update", timeout)
 
 
+# The processors' classes are made within functions, so that they travel whole: the stream's own worker need not find this package.
+
+
+def journey_processor(idle: int, keep: int = 3) -> StatefulProcessor:
+
+    class Journeys(StatefulProcessor):
+        """A user's events until the watermark is `idle` seconds past the last one; one that it hasn't closed yet goes on, however long the gap.
+
+        Three state variables hold what a journey needs: its span, a count of each
+        kind, and the highest values. A timer at the last event plus `idle` closes
+        it: its row is written and all state goes. With ttl, the counts of kinds
+        also go that many seconds of processing time after they were last written,
+        whatever the watermark does.
+        """
+
+        def __init__(self, idle: int, keep: int = 3, ttl: int | None = None) -> None:
+            self.idle, self.keep, self.ttl = idle * 1000, keep, ttl and ttl * 1000
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.span = handle.getValueState("span", "n long, batches long, start long, finish long")
+            self.kinds = handle.getMapState("kinds", "kind string", "n long")
+            self.highest = handle.getListState("highest", "value double")
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+            n, batches, start, finish = self.span.get() if self.span.exists() else (0, 0, None, None)
+            if finish is not None:
+                self.handle.deleteTimer(finish // 1000 + self.idle)
+            kinds, highest = pd.Series(dtype="int64"), pd.Series([v for (v,) in self.highest.get()], dtype="float64")
+            for frame in rows:
+                low, high = int(frame["at"].min()), int(frame["at"].max())
+                n, start, finish = n + len(frame), low if start is None else min(start, low), high if finish is None else max(finish, high)
+                kinds = kinds.add(frame["event_type"].value_counts(), fill_value=0)
+                highest = pd.concat([highest, frame["value"]]).nlargest(self.keep)
+            for kind, more in kinds.items():
+                before = self.kinds.getValue((kind,))[0] if self.kinds.containsKey((kind,)) else 0
+                self.kinds.updateValue((kind,), (before + int(more),))
+            self.highest.put([(float(v),) for v in highest])
+            self.span.update((n, batches + 1, start, finish))
+            self.handle.registerTimer(finish // 1000 + self.idle)
+            yield from ()
+
+        def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+            n, batches, start, finish = self.span.get()
+            kinds = ",".join(f"{kind}:{count}" for (kind,), (count,) in sorted(self.kinds.iterator()))
+            highest = sorted((v for (v,) in self.highest.get()), reverse=True)
+            self.span.clear()
+            self.kinds.clear()
+            self.highest.clear()
+            yield pd.DataFrame({"user_id": [key[0]], "start": [start], "finish": [finish], "n": [n], "batches": [batches], "kinds": [kinds], "highest": [highest]})
+
+        def close(self) -> None:
+            pass
+
+    return Journeys(idle, keep)
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def journeys(events: DataFrame, idle: int, late: str = "1 day") -> DataFrame:
+    """Closed journeys (user_id, start, finish, n, batches, kinds, highest). The stream must run with the RocksDB state store; a user without events for `idle` seconds leaves no state."""
+    rows = events.withWatermark("ts", late).select("user_id", "event_type", "value", "ts", F.unix_micros("ts").alias("at"))
+    schema = "user_id long, start long, finish long, n long, batches long, kinds string, highest array<double>"
+    found = rows.groupBy("user_id").transformWithStateInPandas(journey_processor(idle), schema, "append", "eventtime")
+    return found.withColumns({name: F.timestamp_micros(name) for name in ("start", "finish")})
+
+
+def forgetful_processor(seconds: int) -> StatefulProcessor:
+    class Totals(StatefulProcessor):
+        """A user's number of events, as far as it was written within the last `seconds` of processing time: the store drops older state by itself."""
+
+        def __init__(self, seconds: int) -> None:
+            self.ttl = seconds * 1000
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.count = handle.getValueState("count", "n long", self.ttl)
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+            n = (self.count.get()[0] if self.count.exists() else 0) + sum(len(frame) for frame in rows)
+            self.count.update((n,))
+            yield pd.DataFrame({"user_id": [key[0]], "n": [n]})
+
+        def close(self) -> None:
+            pass
+
+    return Totals(seconds)
+
+
+def forgetting_totals(events: DataFrame, seconds: int) -> DataFrame:
+    """(user_id, n) with every batch that a user occurs in; state lives for a time of the clock, not of the events. The stream must run with the RocksDB state store."""
+    return events.select("user_id").groupBy("user_id").transformWithStateInPandas(forgetful_processor(seconds), "user_id long, n long", "append", "processingtime")
+
+
+def replay(spark: SparkSession, parts: Iterable[DataFrame], operator: Callable[[DataFrame], DataFrame], store: str | None = None) -> DataFrame:
+    """What a stream writes whose rows arrive in parts: each part's files are added to the source's folder, and the stream goes on from its checkpoint until it has read them all. So what a part leaves in the state is read again by the next one, from the shared folder."""
+    place = scratch(spark)
+    for part in parts:
+        part.write.mode("append").parquet(f"{place}/in")
+        source = plain_times(spark.readStream.schema(part.schema).parquet(f"{place}/in"))
+        with setting(spark, "spark.sql.streaming.stateStore.providerClass", store or spark.conf.get("spark.sql.streaming.stateStore.providerClass")):
+            out = operator(source)
+            out.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{place}/out")
+
+
 def to_memory(df: DataFrame, name: str, mode: str, checkpoint: str) -> StreamingQuery:
     """All that is there now, into a table in memory (for tests and small results)."""
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
