@@ -93,7 +93,7 @@ def test_journeys_over_parts(spark):
         [(7, "2024-01-02 10:00:00", 3, "view", 1.0), (8, "2024-01-01 09:00:00", 2, "click", 1.0)],
         [(9, "2024-01-02 10:30:00", 1, "click", 3.0), (10, "2024-01-05 10:00:00", 4, "view", 1.0)],
     )
-    got = on.replay(spark, parts, lambda events: on.journeys(events, 2 * 3600, "1 hour"), on.ROCKSDB).collect()
+    got = on.replay(spark, parts, lambda events: on.journeys(events, 2 * 3600, "1 hour"), **on.ROCKSDB).collect()
     plain = sorted((r["user_id"], str(r["start"])[8:16], str(r["finish"])[8:16], r["n"], r["batches"], r["kinds"], r["highest"]) for r in got)
     assert plain == [
         (1, "01 10:00", "01 11:05", 4, 2, "click:1,view:3", [9.0, 7.0, 5.0]), (1, "02 10:30", "02 10:30", 1, 1, "click:1", [3.0]), (2, "01 10:10", "01 10:10", 1, 1, "view:1", [2.0]),
@@ -103,7 +103,7 @@ def test_journeys_over_parts(spark):
 
 def test_state_that_outlives_its_time_is_gone(spark):
     parts = parts_of(spark, *[[(i, "2024-01-01 10:00:00", 1, "view", 1.0)] for i in range(2)])
-    kept = on.replay(spark, parts, lambda events: on.forgetting_totals(events, 3600), on.ROCKSDB)
+    kept = on.replay(spark, parts, lambda events: on.forgetting_totals(events, 3600), **on.ROCKSDB_TTL)
     assert sorted(r["n"] for r in kept.collect()) == [1, 2]
 
     def slowly():
@@ -111,7 +111,7 @@ def test_state_that_outlives_its_time_is_gone(spark):
         time.sleep(1.5)
         yield parts[1]
 
-    gone = on.replay(spark, slowly(), lambda events: on.forgetting_totals(events, 1), on.ROCKSDB)
+    gone = on.replay(spark, slowly(), lambda events: on.forgetting_totals(events, 1), **on.ROCKSDB_TTL)
     assert sorted(r["n"] for r in gone.collect()) == [1, 1]
 
 

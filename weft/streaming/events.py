@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import ExitStack
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -125,7 +126,9 @@ def journey_processor(idle: int, keep: int = 3) -> StatefulProcessor:
     return Journeys(idle, keep)
 
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Settings of streams with states in several variables; with times to live by the clock, empty batches would never end.
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+ROCKSDB_TTL = ROCKSDB | {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}
 
 
 def journeys(events: DataFrame, idle: int, late: str = "1 day") -> DataFrame:
@@ -162,13 +165,15 @@ def forgetting_totals(events: DataFrame, seconds: int) -> DataFrame:
     return events.select("user_id").groupBy("user_id").transformWithStateInPandas(forgetful_processor(seconds), "user_id long, n long", "append", "processingtime")
 
 
-def replay(spark: SparkSession, parts: Iterable[DataFrame], operator: Callable[[DataFrame], DataFrame], store: str | None = None) -> DataFrame:
-    """What a stream writes whose rows arrive in parts: each part's files are added to the source's folder, and the stream goes on from its checkpoint until it has read them all. So what a part leaves in the state is read again by the next one, from the shared folder."""
+def replay(spark: SparkSession, parts: Iterable[DataFrame], operator: Callable[[DataFrame], DataFrame], **settings: str) -> DataFrame:
+    """What a stream writes whose rows arrive in parts: each part's files are added to the source's folder, and the stream goes on from its checkpoint until it has read them all. So what a part leaves in the state is read again by the next one, from the shared folder. settings: of the session, by name, while it runs."""
     place = scratch(spark)
     for part in parts:
         part.write.mode("append").parquet(f"{place}/in")
         source = plain_times(spark.readStream.schema(part.schema).parquet(f"{place}/in"))
-        with setting(spark, "spark.sql.streaming.stateStore.providerClass", store or spark.conf.get("spark.sql.streaming.stateStore.providerClass")):
+        with ExitStack() as held:
+            for name, value in settings.items():
+                held.enter_context(setting(spark, name, value))
             out = operator(source)
             out.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{place}/out")

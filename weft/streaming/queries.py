@@ -117,5 +117,5 @@ SELECT user_id, min(ts) AS start, max(ts) AS finish, count(*) AS n, count(DISTIN
 FROM rows_ JOIN kinds USING (user_id, run) GROUP BY user_id, run HAVING date_trunc('milliseconds', max(ts)) + INTERVAL {IDLE_HOURS} HOUR <= (SELECT max(mark) FROM marks)""")
 def stream_journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Custom state in several variables with timers: a journey goes on over parts and is written when its timer passes."""
-    closed = on.replay(spark, _parts(_arriving(spark, sf_dir)), lambda events: on.journeys(events, IDLE_HOURS * 3600, "6 hours"), on.ROCKSDB)
+    closed = on.replay(spark, _parts(_arriving(spark, sf_dir)), lambda events: on.journeys(events, IDLE_HOURS * 3600, "6 hours"), **on.ROCKSDB)
     return closed.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "finish")], "n", "batches", "kinds", F.get("highest", F.lit(2)).alias("third"))
