@@ -19,6 +19,12 @@ def sample_repeatable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").sample(0.1, seed=7).select("l_orderkey", "l_partkey", "l_quantity")
 
 
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE md5(CAST(o_orderkey AS VARCHAR)) < '199a'")
+def sample_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the keys by their hash: the same rows in any engine, order and partitioning, and of any table with that key."""
+    return table(spark, sf_dir, "orders").where(F.md5(F.col("o_orderkey").cast("string")) < "199a").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
 @query("SELECT l_orderkey, l_partkey, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS charge FROM lineitem WHERE l_quantity > 49 AND l_shipdate >= TIMESTAMP '1998-01-01'")
 def filter_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").where((F.col("l_quantity") > 49) & (F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz")))
@@ -57,11 +63,6 @@ def lateral_top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, LATERAL, "customer", "orders")
 
 
-@query("WITH RECURSIVE t(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 10) SELECT n, f FROM t")
-def recursive_cte(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql("WITH RECURSIVE t(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 10) SELECT n, f FROM t")
-
-
 TYPES = ("click", "error", "purchase", "signup", "view")
 
 

@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weft.plans.catalog import query
-from weft.sources.tables import sql, table
+from weft.sources.tables import settled, table
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str], seconds: int = 86400) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str], seconds: int = 7 * 86400) -> DataFrame:
     """Each left row with `values` of the last right row of the same key at or before it, nulls where there is none.
 
-    No join: both sides are one stream, and a window carries the last right row
-    forward. It is cut into time bins of `seconds`, so that one key's history
-    spreads over tasks; a bin starts with the last right row of the bins before
-    it, found among one row a key and bin. Of right rows with one time, the
-    greatest values hold. A null key is a key like others; a null time matches nothing.
+    No join: both sides are one stream, read once and settled, and a window
+    carries the last right row forward. It is cut into time bins of `seconds`,
+    so that one key's history spreads over tasks; a bin starts with the last
+    right row of the bins before it, found among one row a key and bin. Of right
+    rows with one time, the greatest values hold. A null key is a key like
+    others; a null time matches nothing.
     """
     row = F.struct(*values)
     whole = F.struct(*left.columns)
@@ -26,16 +27,80 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, values: lis
     nothing = {name: F.lit(None).cast(t).alias(f"_{name}") for name, t in kind.items()}
     one = left.select(F.lit(2).alias("_side"), *by, at, bin_of, whole.alias("_left"), nothing["right"])
     two = right.where(F.col(at).isNotNull()).select(F.lit(1).alias("_side"), *by, at, bin_of, nothing["left"], row.alias("_right"))
-    ends = two.groupBy(*by, "_bin").agg(F.max(F.struct(at, "_right")).alias("_end"))
-    bins = ends.unionByName(one.select(*by, "_bin").distinct().withColumn("_end", F.lit(None).cast(ends.schema["_end"].dataType)))
+    both = settled(one.unionByName(two))
+    bins = both.groupBy(*by, "_bin").agg(F.max(F.when(F.col("_side") == 1, F.struct(at, "_right"))).alias("_end"))
     before = W.partitionBy(*by).orderBy("_bin").rangeBetween(W.unboundedPreceding, -1)
-    carried = bins.withColumn("_before", F.last("_end", ignorenulls=True).over(before)).where("_before IS NOT NULL").groupBy(*by, "_bin").agg(F.first("_before").alias("_before"))
+    carried = bins.withColumn("_before", F.last("_end", ignorenulls=True).over(before)).where("_before IS NOT NULL")
     zero = carried.select(F.lit(0).alias("_side"), *by, F.col(f"_before.{at}").alias(at), "_bin", nothing["left"], F.col("_before._right").alias("_right"))
     order = W.partitionBy(*by, "_bin").orderBy(at, "_side", "_right").rowsBetween(W.unboundedPreceding, 0)
-    stream = one.unionByName(two).unionByName(zero).withColumn("_last", F.last("_right", ignorenulls=True).over(order))
+    stream = both.unionByName(zero).withColumn("_last", F.last("_right", ignorenulls=True).over(order))
     return stream.where("_side = 2").select("_left.*", *[F.col("_last")[v].alias(v) for v in values])
 
 
+def not_in(left: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """SQL's NOT IN with the one column of `values`, whose size may be any: one pass tells whether it holds a null (then no row is left) or nothing (then all are); else an anti join, which shuffles unless a side is small. A null on the left is left only if there are no values."""
+    (name,) = values.columns
+    seen = values.agg(F.count("*").alias("rows"), F.count(name).alias("known")).first()
+    if not seen["rows"]:
+        return left
+    if seen["known"] < seen["rows"]:
+        return left.limit(0)
+    return left.where(F.col(column).isNotNull()).join(values.select(F.col(name).alias("_value")), F.col(column) == F.col("_value"), "left_anti")
+
+
+#: Leaves of the axis that intervals are cut by, a power of two.
+LEAVES = 1 << 10
+
+
+def overlaps(left: DataFrame, right: DataFrame, start: str, end: str) -> DataFrame:
+    """Pairs of a left and a right row whose intervals [start, end] share a point, each once, as (left.*, right.*): columns of the two sides must differ but for start and end, which are dropped.
+
+    Two intervals meet if the right one starts within the left one, or the left
+    one after the right one's start and within it: a point in an interval, both
+    times. The axis is cut into leaves at quantiles of the starts; an interval is
+    the few nodes of a binary tree over them that cover it, and a point meets one
+    of them among its leaf's ancestors. So an equal key joins them, nothing is
+    met twice, and what is met in vain lies in the interval's first and last
+    leaf. Long intervals take few nodes, and a crowded time has narrow leaves.
+    Intervals with a null or with end before start meet nothing.
+    """
+    at = lambda c: F.col(c).cast("timestamp") if dict(left.dtypes)[c].startswith("timestamp") else F.col(c)
+    number = lambda c: F.unix_micros(at(c)) if dict(left.dtypes)[c].startswith("timestamp") else F.col(c)
+    sides = []
+    for k, side in enumerate((left, right)):
+        rest = F.struct(*[c for c in side.columns if c not in (start, end)])
+        sides.append(side.where(F.col(start) <= F.col(end)).select(F.lit(k).alias("_side"), number(start).alias("_from"), number(end).alias("_to"), rest.alias("_row")))
+    starts = sides[0].select("_from").unionByName(sides[1].select("_from"))
+    cuts = starts.agg(F.percentile_approx("_from", [i / LEAVES for i in range(1, LEAVES)], 10 * LEAVES)).first()[0] or []
+    edges = F.array(*[F.lit(x) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    halves = [1 << k for k in reversed(range(LEAVES.bit_length()))]
+    few = len(set(cuts))
+
+    def leaf(c: str) -> Column:
+        """The number of cuts below the value, by halving."""
+        return F.aggregate(F.array(*[F.lit(h) for h in halves]), F.lit(0), lambda n, h: n + F.when((n + h <= few) & (F.get(edges, n + h - 1) < F.col(c)), h).otherwise(0))
+
+    def cover() -> Column:
+        """The nodes of the interval: climbing from both ends, a node is taken where its parent would reach beyond."""
+        none = F.array().cast("array<int>")
+        low, high = leaf("_from") + LEAVES, leaf("_to") + LEAVES + 1
+        step = lambda s: F.struct(
+            F.shiftright(s["l"] + s["l"] % 2, 1).alias("l"), F.shiftright(s["h"] - s["h"] % 2, 1).alias("h"),
+            F.when(s["l"] < s["h"], F.concat(s["nodes"], F.when(s["l"] % 2 == 1, F.array(s["l"])).otherwise(none), F.when(s["h"] % 2 == 1, F.array(s["h"] - 1)).otherwise(none))).otherwise(s["nodes"]).alias("nodes"),
+        )
+        return F.aggregate(F.array(*[F.lit(i) for i in range(LEAVES.bit_length())]), F.struct(low.alias("l"), high.alias("h"), none.alias("nodes")), lambda s, _: step(s))["nodes"]
+
+    found = []
+    for k, strict in ((0, False), (1, True)):  # the interval's side; the right one's start counts as within if both start together
+        wide = sides[k].select("_from", "_to", F.col("_row").alias("_wide"), F.explode(cover()).alias("_node"))
+        up = F.array(*[F.shiftright(F.col("_leaf"), i) for i in range(LEAVES.bit_length())])
+        point = sides[1 - k].select(F.col("_from").alias("_at"), F.col("_row").alias("_point"), (leaf("_from") + LEAVES).alias("_leaf")).select("_at", "_point", F.explode(up).alias("_node"))
+        meets = (F.col("_at") > F.col("_from") if strict else F.col("_at") >= F.col("_from")) & (F.col("_at") <= F.col("_to"))
+        pairs = wide.join(point, "_node").where(meets)
+        found.append(pairs.select(F.col("_point" if strict else "_wide").alias("l"), F.col("_wide" if strict else "_point").alias("r")))
+    return found[0].unionByName(found[1]).select("l.*", "r.*")
+
+
 def within(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, seconds: int) -> DataFrame:
     """Pairs of one key whose right time is within `seconds` after the left one: both sides meet in time bins of that width, so a key's whole history is never compared."""
     bin_of = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (seconds * 1_000_000))
@@ -110,7 +175,7 @@ NOT_IN = "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderk
 
 @query(NOT_IN)
 def join_not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sql(spark, sf_dir, NOT_IN, "orders", "lineitem")
+    return not_in(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", table(spark, sf_dir, "lineitem").where("l_quantity > 30").select("l_orderkey"))
 
 
 #: Width of the band and of its bins.
@@ -126,6 +191,20 @@ def join_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poorer.join(richer, "bin").where((F.col("low") < F.col("high")) & (F.col("high") - F.col("low") <= BAND)).select("poorer", "richer")
 
 
+SPAN = "ts + to_minutes(CAST(ceil(value * CASE WHEN user_id % 40 = 0 THEN 20 ELSE 1 END) AS BIGINT))"
+
+
+@query(f"""
+WITH e AS (SELECT event_id, event_type, ts AS a, {SPAN} AS b FROM events)
+SELECT p.event_id AS purchase_id, x.event_id AS error_id FROM e p JOIN e x ON p.a <= x.b AND x.a <= p.b WHERE p.event_type = 'purchase' AND x.event_type = 'error'""")
+def join_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two inequalities and no equal key: purchases and errors whose times overlap, some of them twenty times as long as others."""
+    minutes = F.ceil(F.col("value") * F.when(F.col("user_id") % 40 == 0, 20).otherwise(1))
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").alias("a"), (F.col("ts") + F.make_dt_interval(mins=minutes.cast("int"))).alias("b"))
+    side = lambda kind, name: events.where(F.col("event_type") == kind).select(F.col("event_id").alias(name), "a", "b")
+    return overlaps(side("purchase", "purchase_id"), side("error", "error_id"), "a", "b")
+
+
 @query("SELECT r_name, n_name FROM region, nation")
 def join_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two tables of fixed size."""

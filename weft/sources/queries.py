@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.plans.catalog import query
-from weft.sources.numbers import Numbers
-from weft.sources.tables import read, scratch, stream, table, write
+from weft.session import setting
+from weft.sources.row_groups import RowGroups
+from weft.sources.tables import read, scratch, settled, stream, table, write
 from weft.streaming.events import to_parquet
 
 
@@ -50,8 +51,18 @@ def file_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_parquet(events.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value"), spark)
 
 
-@query("SELECT range AS n, range % 7 AS rest FROM range(0, 100000)")
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 400000 AND o_orderstatus IN ('F', 'O')")
 def custom_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.dataSource.register(Numbers)
-    numbers = spark.read.format("weft_numbers").option("end", 100_000).load()
-    return numbers.select("n", (F.col("n") % 7).alias("rest"))
+    """The orders by a source written in Python, which gets the filters and reads the parts of the file that can hold a row; what it reads is settled, as the filters are pushed only while the setting holds."""
+    spark.dataSource.register(RowGroups)
+    with setting(spark, "spark.sql.python.filterPushdown.enabled", "true"):
+        orders = spark.read.format("weft_row_groups").option("path", f"{sf_dir}/orders.parquet").load()
+        return settled(orders.where("o_totalprice > 400000 AND o_orderstatus IN ('F', 'O')").select("o_orderkey", "o_custkey", "o_totalprice"))
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+def custom_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of that source, whose offsets are numbers of row groups; totals of what the stream wrote."""
+    spark.dataSource.register(RowGroups)
+    events = spark.readStream.format("weft_row_groups").option("path", f"{sf_dir}/events.parquet").load()
+    return to_parquet(events.select("event_id", "event_type", "value"), spark).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))

@@ -34,6 +34,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{place}/scratch-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: computed once, read as often as needed, and safe when executors are lost."""
+    place = scratch(df.sparkSession)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def write(df: DataFrame, path: str, kind: str = "parquet", partition_by: list[str] | None = None, mode: str = "errorifexists") -> None:
     """A directory of files; with partition_by one folder a value, whose names later filters prune."""
     if kind not in FORMATS:
