@@ -50,3 +50,11 @@ def test_moves_towards_neighbours_within_quotas(spark):
 
 def test_empty(empty):
     assert shard(empty).count() == 0
+
+
+def test_small_groups_stay_whole(spark):
+    """Of 6667 groups of three a few are cut in two: those at an even shard's edge, and those whose shards were all full in every round. Sizes stay even."""
+    docs = spark.range(20_001).selectExpr("id AS doc_id", "concat('text ', id % 6667) AS text")
+    placed = shard(docs)
+    assert {r["count"] for r in placed.groupBy("shard").count().collect()} == {2500, 2501}
+    assert placed.groupBy("text_crc32", "size").agg(F.count_distinct("shard").alias("shards")).where("shards > 1").count() <= 60
