@@ -1,10 +1,12 @@
+import time
 from collections import Counter
 
 import regex
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
 from weft.llm import decontaminate
-from weft.llm.decontaminate import hits, stage
+from weft.llm.decontaminate import hits, shingles, stage
 
 
 def brute(docs, items, k=5, threshold=0.8):
@@ -66,3 +68,16 @@ def test_shuffled_where_nothing_is_broadcast(spark, odd, monkeypatch):
     before = rows()
     monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     assert rows() == before
+
+
+def test_long_words_take_time_in_proportion(spark):
+    """Words of a megabyte, alone, last and among others; and the shingles stay what they were."""
+    base = prose(7, 12)
+    docs = spark.createDataFrame([(1, "f" * (1 << 20)), (2, f"{base} {'0a' * (1 << 19)}"), (3, f"{'x' * (1 << 20)} {base} {'y' * (1 << 20)} z"), (4, base)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, base), (2, "g" * (1 << 20))], "item_id long, text string")
+    began = time.time()
+    assert sorted(r["doc_id"] for r in hits(docs, items).collect()) == [2, 3, 4]
+    assert time.time() - began < 60
+    words = base.split(" ")
+    got = docs.where("doc_id = 4").select(shingles(F.lit(base), 5).alias("s")).first()["s"]
+    assert got == [" ".join(words[i : i + 5]) for i in range(8)]
