@@ -97,3 +97,14 @@ def test_evidence_is_of_other_folds():
     found = toxicity.counts(docs, labels, folds, 2)
     whole, other = toxicity.evidence(found.sum(axis=0), np.array([6, 6])), toxicity.evidence(found.sum(axis=0) - found[0], np.array([6, 0]))
     assert whole[0] > 1 and other[0] == 0
+
+
+def test_a_fit_takes_a_bounded_number_of_bytes(spark, monkeypatch):
+    """Long texts don't fill the driver: fewer of them are taken."""
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels, prior=None: seen.append((texts, labels)))
+    docs = spark.range(400).selectExpr("id AS doc_id", "repeat('word ', 2000) AS text")
+    labels = spark.range(400).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    toxicity.fit(docs, labels)
+    toxicity.fit(docs, labels, most=400_000)
+    assert len(seen[0][0]) == 400 and 5 < len(seen[1][0]) < 120

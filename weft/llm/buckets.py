@@ -97,11 +97,11 @@ ANSWERS = "bucket int, part int, answer binary"
 
 
 def totals(table: pa.Table) -> pa.Table:
-    """For each list of one key partition, its keys' counts over all buckets."""
+    """For each list of one key partition, its keys' counts over all buckets: numbers of 4 bytes with a point, which no corpus is too large for. They are exact up to 2**24 and within a part of 2**24 beyond."""
     each = [unpack(x) for x in table.column("keys").to_pylist()]
     keys, inverse = np.unique(np.concatenate(each), return_inverse=True)
     counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
-    total = np.bincount(inverse, counts, len(keys)).astype(np.uint32)[inverse]
+    total = np.bincount(inverse, counts, len(keys)).astype(np.float32)[inverse]
     edges = np.cumsum([0, *map(len, each)])
     return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "answer": pa.array([total[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary())})
 
@@ -115,4 +115,4 @@ def answered(answers: pa.Table) -> np.ndarray:
     """The answers to a bucket's lists, as one array in the order of its distinct keys."""
     order = np.argsort(answers.column("part").to_numpy())
     data = answers.column("answer").to_pylist()
-    return np.concatenate([np.frombuffer(data[i], np.uint32) for i in order]) if data else np.zeros(0, np.uint32)
+    return np.concatenate([np.frombuffer(data[i], np.float32) for i in order]) if data else np.zeros(0, np.float32)

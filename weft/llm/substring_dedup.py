@@ -7,8 +7,9 @@ trigger, which depends on its bytes alone, and equal strings sit at equal places
 of phrases with equal triggers.
 
 A string is then two parts: what is left of its trigger, a suffix of the
-dictionary's phrase that ends there, and what follows from the trigger on, a
-prefix of a suffix of the parse. Both are sorted by their bytes, with the length
+dictionary's phrase that ends there, and what follows from the trigger on, the
+start of the parse's suffix there, held as its bytes as far as a string needs
+them and not as numbers of phrases. Both are sorted by their bytes, with the length
 of the prefix that neighbours share: the parse's suffixes from the trigger on
 (which brings equal triggers together), and the dictionary's from the trigger
 backwards, which sorts its suffixes of every length at once. For each distance
@@ -157,7 +158,7 @@ def _phrases(layout: Layout, deals: int):
     def run(key, data, answers):
         """The distinct phrases of the bucket whose triggers occur again, dealt by their triggers; strings of triggers that are everywhere, dealt by their hashes."""
         bucket, parse = key[0].as_py(), Bucket(data)
-        total = answered(answers)[split_keys(parse.hash, layout)[3]] if len(parse.hash) else np.zeros(0, np.uint32)
+        total = answered(answers)[split_keys(parse.hash, layout)[3]] if len(parse.hash) else np.zeros(0, np.float32)
         rows: dict[str, list] = {name.split(" ")[0]: [] for name in PHRASES.split(", ")}
 
         def send(deal, hashes, text, first, place, sizes, data_of, spread):
@@ -322,6 +323,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     come last, and ties (repeated rows) are in the table's order, so one of them
     stays. Null and empty texts have no bytes; shorter texts than LENGTH stay
     whole. An empty table gives an empty result; only doc_id and text are read.
+    rid numbers the rows in more than one job, so docs must be a scan, or another
+    frame whose rows keep their order.
     """
     dealt, layout = bucketed(docs, 1 / 28)
     counts = counted_lists(dealt.groupBy("bucket").applyInArrow(_lists(layout), LISTS), layout)

@@ -24,6 +24,8 @@ from weft.llm.common import arrow_map, hold, table
 
 #: Labelled rows of each class that a fit takes, on average (a hash of the id chooses them).
 TRAIN_ROWS = 1000
+#: UTF-8 bytes of text that a fit takes of both classes, on average.
+TRAIN_BYTES = 256 << 20
 #: Words to a window, and from one window to the next.
 WINDOW, STRIDE = 32, 24
 HIDDEN, EMBEDDING, ATTENTION = 8, 4, 8
@@ -349,16 +351,18 @@ def train(texts: list[str], labels: list[int], prior: float | None = None) -> Ne
     return network
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network:
-    """A network from about `rows` labelled texts of each class; rows without a label or a text don't count, of repeated labels the highest does."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_BYTES) -> Network:
+    """A network from about `rows` labelled texts of each class, fewer where their texts would take more than half of `most` bytes; rows without a label or a text don't count, of repeated labels the highest does."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     held = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
+    sizes = docs.where(F.col("text").isNotNull()).select("doc_id", F.octet_length("text").alias("bytes")).join(known, "doc_id").groupBy("toxic").agg(F.sum("bytes").alias("bytes"))
+    held_bytes = {r["toxic"]: r["bytes"] for r in sizes.collect()}  # two rows
     if not held:
         return train([], [])
     unit = 1 << 30
-    share = F.create_map(*[x for k, n in held.items() for x in (F.lit(k), F.lit(int(unit * min(1.0, rows / n))))])
+    share = F.create_map(*[x for k, n in held.items() for x in (F.lit(k), F.lit(int(unit * min(1.0, rows / n, most / 2 / max(1, held_bytes.get(k, 0))))))])
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(unit)) < share[F.col("toxic")])
-    sample = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by("doc_id")  # `rows` ids of each class
+    sample = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])  # `rows` ids of each class
     return train(sample.column("text").to_pylist(), sample.column("toxic").to_pylist(), held.get(1, 0) / sum(held.values()))
 
 
