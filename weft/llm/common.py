@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import sys
 import tempfile
@@ -52,6 +53,12 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver find what nothing refers to any more, so that Spark deletes the shuffles and checkpoints behind settled frames now and not when the driver's memory runs short."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
     """The frame as a Parquet table in the shared folder: its lineage is cut, and it takes less disk than a checkpoint, as its columns are encoded."""
     place = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weft.llm.buckets import LISTS, Layout, answered, bucketed, counted_lists, lists, split_keys
-from weft.llm.common import cut, release, setting, settle, table, trim
+from weft.llm.common import cut, release, setting, settle, table, tidy, trim
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -324,6 +324,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     counts = counted_lists(dealt.groupBy("bucket").applyInArrow(_lists(layout), LISTS), layout)
     nodes = cut(dealt.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(_nodes(layout), NODES))
 
+    tidy(docs.sparkSession)  # the texts' shuffles
+
     # Copies by words are one node, named by the least rid among those with samples.
     named = nodes.where(F.col("bands").isNotNull()).groupBy("alike").agg(F.min("rid").alias("node"))
     nodes_of = named.withColumnRenamed("node", "rid")
@@ -333,6 +335,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = settle(members.join(full, "bucket"))
     meets = members.groupBy("node").agg((-F.sum("n")).alias("order"))
     members = settle(members.drop("n").join(meets, "node"))
+    tidy(docs.sparkSession)
 
     shingled = samples.select("node", "prints", "weights")
     side = lambda of: shingled.select(F.col("node").alias(of), F.col("prints").alias(f"{of}_prints"), F.col("weights").alias(f"{of}_weights"))
@@ -365,6 +368,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             result = settle(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_prints", "a_weights", "b_prints", "b_weights").mapInArrow(_compare, "a long, b long, similarity double"))
         compared = result.select("a", "b") if compared is None else compared.union(result.select("a", "b"))
         labels = merge(labels, result.where(F.col("similarity") >= threshold - 1e-9))
+        tidy(spark)
     if labels is None:
         labels = spark.createDataFrame([], "node long, label long")
 
