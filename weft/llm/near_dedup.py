@@ -390,4 +390,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class, with all the columns of docs."""
     kept = classes(docs).where("kept").select(F.col("rid").alias("of"))
+    tidy(spark)  # what the classes were found by, before whole texts are shuffled again
     return docs.withColumn(ROW, F.monotonically_increasing_id()).join(kept, F.col(ROW) == F.col("of"), "left_semi").select(*docs.columns)
