@@ -45,7 +45,7 @@ def test_stages_on_odd_tables(spark, odd, empty, tmp_path, kind):
 def test_registered():
     names = __spark_entry__.queries()
     assert [n for n in names if re.match(r"op\d+_", n)] and "pipeline" in names
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op")} == set(range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
     for path in (Path(corpus_pipeline.__file__), *Path("weft/llm").glob("*.py")):
         assert "ImportError" not in path.read_text()
