@@ -101,6 +101,12 @@ def numbered(docs: DataFrame, *columns: str | Column) -> DataFrame:
     return docs.select(*columns, F.monotonically_increasing_id().alias("rid"))
 
 
+def picked(docs: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The rows of docs whose number is in the `rid` of the other frame, with all their columns. docs must give its rows in the same order as when they were numbered."""
+    row, rid = "_weft_row", "_weft_rid"
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(numbers.select(F.col("rid").alias(rid)), F.col(row) == F.col(rid), "left_semi").select(*docs.columns)
+
+
 def input_bytes(docs: DataFrame) -> int:
     """Catalyst's estimate of the input's size: enough to choose a number of buckets."""
     return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -21,7 +21,7 @@ from itertools import chain, repeat
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import cut, numbered, table
+from weft.llm.common import cut, numbered, picked, table, tidy
 
 #: Bytes of each round's digit; the last width holds for all further rounds.
 DIGITS = (64, 4096, 262_144, 8_388_608)
@@ -32,8 +32,8 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
-def exact_groups(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept and text_sha256; with `whole` also `row`, the input row.
+def exact_groups(docs: DataFrame, numbers: bool = False) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept and text_sha256; with `numbers` also `rid`, the row's number in docs.
 
     Of rows with equal normalised texts the one with the smallest doc_id stays;
     rows without an id come last, and of rows that tie on the id (repeated
@@ -42,22 +42,21 @@ def exact_groups(docs: DataFrame, whole: bool = False) -> DataFrame:
     their names. The rows are read in more than one job, so docs must be a scan
     or another frame that gives its rows in the same order each time.
     """
-    row = F.struct(*(docs.columns if whole else ["doc_id"])).alias("row")
     text = normalised(F.col("text"))
-    rows = numbered(docs, row, text.cast("binary").alias("rest")).select(
-        "rid", "row", F.sha2("rest", 256).alias("text_sha256"), F.octet_length("rest").alias("size"), F.lit(-1).cast("long").alias("group"), "rest"
+    rows = numbered(docs, "doc_id", text.cast("binary").alias("rest")).select(
+        "rid", "doc_id", F.sha2("rest", 256).alias("text_sha256"), F.octet_length("rest").alias("size"), F.lit(-1).cast("long").alias("group"), "rest"
     )
     closed = []
     for width in chain(DIGITS, repeat(DIGITS[-1])):
         keyed = rows.withColumn("digit", F.substring("rest", 1, width))
         groups = keyed.groupBy("group", "size", "digit").agg(
-            F.count("*").alias("group_size"), F.min(F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id").alias("doc_id"), F.col("rid").alias("rid"))).alias("first")
+            F.count("*").alias("group_size"), F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid"))).alias("first")
         )
         # Cut, so that the join has a shuffle of its own on either side: only then are its large partitions split.
         groups = cut(groups)
         ended = (F.col("group_size") == 1) | (F.octet_length("rest") <= width)
         split = keyed.join(groups, ["group", "size", "digit"]).select(
-            "rid", "row", "text_sha256", "size", F.col("first.rid").alias("group"), F.col("first.doc_id").alias("keep_id"), "group_size", F.when(~ended, F.expr(f"substring(rest, {width} + 1)")).alias("rest")
+            "rid", "doc_id", "text_sha256", "size", F.col("first.rid").alias("group"), F.col("first.doc_id").alias("keep_id"), "group_size", F.when(~ended, F.expr(f"substring(rest, {width} + 1)")).alias("rest")
         )
         split = cut(split)
         closed.append(split.where(F.col("rest").isNull()))
@@ -67,7 +66,7 @@ def exact_groups(docs: DataFrame, whole: bool = False) -> DataFrame:
     result = closed[0]
     for more in closed[1:]:
         result = result.unionByName(more)
-    return result.select("row.doc_id", "keep_id", "group_size", (F.col("rid") == F.col("group")).alias("kept"), "text_sha256", *["row"] * whole)
+    return result.select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("group")).alias("kept"), "text_sha256", *["rid"] * numbers)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,5 +82,7 @@ WINDOW g AS (PARTITION BY t)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows that stay, with all the columns of docs."""
-    return exact_groups(docs, whole=True).where("kept").select("row.*")
+    """The rows that stay, with all the columns of docs. The rounds carry numbers of rows, not whole rows."""
+    kept = exact_groups(docs, numbers=True).where("kept")
+    tidy(spark)  # the rounds' shuffles, before whole rows are shuffled
+    return picked(docs, kept)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weft.llm.buckets import LISTS, Layout, answered, bucketed, counted_lists, lists, split_keys
-from weft.llm.common import cut, release, setting, settle, table, tidy, trim
+from weft.llm.common import cut, picked, release, setting, settle, table, tidy, trim
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -46,9 +46,6 @@ SLICE, CHUNK = 1 << 20, 1 << 17
 #: Scripts written without spaces.
 SOLO = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
 
-#: The row number while a stage's rows are chosen.
-ROW = "_weft_row"
-
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -389,6 +386,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class, with all the columns of docs."""
-    kept = classes(docs).where("kept").select(F.col("rid").alias("of"))
+    tidy(spark)  # what the stages before have left
+    kept = classes(docs).where("kept")
     tidy(spark)  # what the classes were found by, before whole texts are shuffled again
-    return docs.withColumn(ROW, F.monotonically_increasing_id()).join(kept, F.col(ROW) == F.col("of"), "left_semi").select(*docs.columns)
+    return picked(docs, kept)
