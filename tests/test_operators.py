@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,18 @@ def test_custom_source(spark):
     df = spark.read.format("weft_numbers").options(start=5, end=200_005, partitions=3).load()
     assert df.rdd.getNumPartitions() == 3 and df.agg(F.count("*"), F.min("n"), F.max("n"), F.countDistinct("n")).first()[:] == (200_000, 5, 200_004, 200_000)
     assert spark.read.format("weft_numbers").load().count() == 0
+
+
+def test_lateral_top_orders_orders_its_window(spark, tmp_path):
+    """Places hang on prices and keys, not on the order in which a shuffle deals the rows; null prices and keys come last, and a customer's repeated row repeats its orders."""
+    rng = random.Random(5)
+    orders = [(i, rng.randrange(40), rng.choice([None, 1.0, 2.0, float("nan"), rng.random()])) for i in range(400)] + [(None, 7, 9.0), (900, 7, 9.0), (901, 7, 9.0), (902, 50, None), (903, None, 1.0)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").repartition(16, "o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(c,) for c in [*range(45), 3, 50, None]], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    found = __spark_entry__.queries()["lateral_top_orders"](spark, str(tmp_path))
+    con = duckdb.connect()
+    for name in ("orders", "customer"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = con.sql(__spark_entry__.oracle_sql()["lateral_top_orders"]).fetchall()
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want)) and len(want) > 60
+    assert "row_number() windowspecdefinition(o_custkey" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "o_totalprice" in plan.split("windowspecdefinition(", 1)[1].split("specifiedwindowframe", 1)[0]
