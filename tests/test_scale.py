@@ -103,6 +103,18 @@ def test_overlaps_against_loops(spark, monkeypatch, leaves):
     assert overlaps(one.limit(0), two, "a", "b").count() == 0 == overlaps(one.limit(0), two.limit(0), "a", "b").count()
 
 
+def test_points_are_shuffled_a_few_times(spark, monkeypatch):
+    """A point goes to its leaf and one ancestor, not to each level of a deep tree; trees of other depths find the same pairs."""
+    rng = random.Random(8)
+    rows = [(i, a, a + rng.choice([0, 3, rng.randrange(2000)])) for i in range(150) for a in [rng.randrange(2000)]]
+    one, two = (spark.createDataFrame(rows[k::2], f"{name} int, a long, b long") for k, name in enumerate("ij"))
+    want = sorted((i, j) for i, a, b in rows[0::2] for j, c, d in rows[1::2] if a <= d and c <= b)
+    assert overlaps(one, two, "a", "b")._jdf.queryExecution().analyzed().toString().count("shiftright(_leaf") <= 6
+    for fan in (1, 2, 3, 10):
+        monkeypatch.setattr(join, "FAN", fan)
+        assert sorted(map(tuple, overlaps(one, two, "a", "b").collect())) == want
+
+
 def test_long_intervals_take_few_nodes(spark, monkeypatch):
     """An interval over everything is met by each point once, not in each leaf."""
     points = spark.range(2000).select("id", F.col("id").alias("a"), F.col("id").alias("b"))
