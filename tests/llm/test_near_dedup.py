@@ -79,6 +79,30 @@ def test_edges(spark, odd, empty):
     assert kept.columns == odd.columns and kept.count() == len(set(brute([r["text"] for r in rows])))
 
 
+def test_group_just_below_the_threshold(spark, monkeypatch):
+    """Copies that are just below the threshold to each other aren't all compared, and no link is lost by it: those of one edit are still one class."""
+    words, rng, texts = prose(7, 120).split(), np.random.default_rng(7), []
+    for i in range(90):
+        own = list(words)
+        for k, at in enumerate(rng.choice(110, 3, replace=False)):
+            own[at] = f"edit{i}x{k}"
+        texts += [" ".join(own)] + ([" ".join([*own, "end"])] if i % 9 == 0 else [])
+    compared, real = [], near_dedup.settle
+
+    def counting(df):
+        kept = real(df)
+        if "similarity" in kept.columns:
+            compared.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(near_dedup, "settle", counting)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in classes(docs).collect()}
+    want = partition(brute(texts))
+    assert partition([got[i] for i in range(len(texts))]) == want and 50 < len(want) < 95
+    assert sum(compared) < 5 * len(texts)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 120), (101, 120), (101, 140)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -14,6 +14,11 @@ this leaves outside the pivot's class become pivots in the next rounds, PIVOTS
 times as many in each, until none is left. Pairs of one class need no
 comparison, nor do pairs whose shared shingles weigh too little for the
 threshold, however they overlap; all other members of a bucket are compared.
+From the second round on, where the copies of a large group that are just below
+the threshold to each other would all be compared, a pair must also share one of
+the rarest shingles of both: with the shingles of either in one order, rarest
+first, a pair at the threshold has the first common one before more than what
+it may lack has gone by (prefix filtering). No link is lost by it.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -214,7 +219,26 @@ def _text(data: pa.Table) -> pa.Array:
     return data.column("text").combine_chunks() if data.num_rows else pa.array([], pa.string())
 
 
-NODES = "rid long, alike binary, weight double, shared double, prints binary, weights binary, bands array<long>"
+#: What rounding may add to a text's weight before a shingle, as a part of it.
+SLACK = 1e-4
+
+
+def rarest(value: np.ndarray, weight: np.ndarray, documents: np.ndarray, edges: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text the shingles of two documents or more that a partner at the threshold may be the first to share, rarest first, as 32 bits of their hashes, and the weight of the text's shingles before each.
+
+    Before it goes by no more than a text may lack, at most 1 - THRESHOLD of it.
+    Shingles as rare as each other are in the order of their hashes, so that the
+    order is the same in all texts.
+    """
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        order = np.lexsort((value[a:b], documents[a:b]))
+        heavy = weight[a:b][order].astype(np.float64)
+        before = np.cumsum(heavy) - heavy
+        keep = (before <= (1 - THRESHOLD + SLACK) * heavy.sum()) & (documents[a:b][order] > 1)
+        yield (value[a:b][order][keep] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), before[keep].astype(np.float32)
+
+
+NODES = "rid long, alike binary, weight double, shared double, prints binary, weights binary, bands array<long>, rare array<int>, before array<float>"
 
 
 def _nodes(layout: Layout):
@@ -236,7 +260,7 @@ def _nodes(layout: Layout):
         chosen = np.zeros(rows, bool)
         chosen[np.unique(alike, return_index=True)[1]] = True
         chosen &= shared >= (THRESHOLD - 1e-6) * total
-        blobs = {name: [None] * rows for name in ("prints", "weights", "bands")}
+        blobs = {name: [None] * rows for name in ("prints", "weights", "bands", "rare", "before")}
         for a, b in ranges(edges):
             which = np.flatnonzero(chosen[a:b]) + a
             if not len(which):
@@ -246,11 +270,14 @@ def _nodes(layout: Layout):
             at = np.concatenate([[0], np.cumsum(sizes[which])])
             keys = bands(some, heavy, at)
             prints = (some >> np.uint64(64 - 8 * PRINT)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PRINT]
+            for row, (rare, before) in zip(which, rarest(some, heavy, documents[edges[a] : edges[b]][keep], at), strict=True):
+                blobs["rare"][row], blobs["before"][row] = rare, before
             for i, row in enumerate(which):
                 first, after = at[i], at[i + 1]
                 blobs["prints"][row], blobs["weights"][row], blobs["bands"][row] = prints[first:after].tobytes(), heavy[first:after].tobytes(), keys[i].view(np.int64)
         columns = {"rid": data.column("rid"), "alike": pa.array([x.tobytes() for x in alike], pa.binary()), "weight": pa.array(total), "shared": pa.array(shared)}
         columns |= {"prints": pa.array(blobs["prints"], pa.binary()), "weights": pa.array(blobs["weights"], pa.binary()), "bands": pa.array(blobs["bands"], pa.list_(pa.int64()))}
+        columns |= {"rare": pa.array(blobs["rare"], pa.list_(pa.int32())), "before": pa.array(blobs["before"], pa.list_(pa.float32()))}
         return pa.table(columns)
 
     return run
@@ -304,6 +331,13 @@ def merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return settle(known.union(fresh))
 
 
+def leading(of: str, threshold: float) -> Column:
+    """Of a member's or its pivot's rarest shingles those that may be the first that the two share: before them goes by no more than that one may lack."""
+    weight, both = F.col(f"{of}weight"), F.col("weight") + F.col("pivot.weight")
+    lack = weight - (threshold / (1 + threshold) - SLACK) * both
+    return F.slice(f"{of}rare", F.lit(1), F.size(F.filter(f"{of}before", lambda x: x <= lack)))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: rid, doc_id, class_id, class_rid, class_size, kept.
 
@@ -326,7 +360,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # Copies by words are one node, named by the least rid among those with samples.
     named = nodes.where(F.col("bands").isNotNull()).groupBy("alike").agg(F.min("rid").alias("node"))
     nodes_of = named.withColumnRenamed("node", "rid")
-    samples = cut(nodes.join(nodes_of, ["alike", "rid"], "left_semi").select(F.col("rid").alias("node"), "weight", "shared", "prints", "weights", "bands"))
+    samples = cut(nodes.join(nodes_of, ["alike", "rid"], "left_semi").select(F.col("rid").alias("node"), "weight", "shared", "prints", "weights", "bands", "rare", "before"))
     members = samples.select("node", "weight", "shared", "bands", F.posexplode("bands").alias("band", "key")).select("node", "weight", "shared", "bands", "band", F.xxhash64("band", "key").alias("bucket"))
     full = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = settle(members.join(full, "bucket"))
@@ -334,6 +368,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = settle(members.drop("n").join(meets, "node"))
     tidy(docs.sparkSession)
 
+    rare = samples.select("node", "rare", "before")
     shingled = samples.select("node", "prints", "weights")
     side = lambda of: shingled.select(F.col("node").alias(of), F.col("prints").alias(f"{of}_prints"), F.col("weights").alias(f"{of}_weights"))
     spark, labels, done, compared, most = docs.sparkSession, None, None, None, 1
@@ -347,7 +382,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             now = now.join(heads, "bucket")
             most *= PIVOTS
             waiting = now.where("label <> main").join(done, ["bucket", "node"], "left_anti").withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("order", "node")))
-            pivots = waiting.where(F.col("rank") <= most).select("bucket", F.struct("order", "node", "weight", "shared", "bands", "label").alias("pivot"))
+            # The rarest shingles are fetched for the open buckets alone.
+            now = now.join(rare, "node")
+            pivots = waiting.where(F.col("rank") <= most).join(rare, "node").select("bucket", F.struct("order", "node", "weight", "shared", "bands", "label", "rare", "before").alias("pivot"))
         pivots = settle(pivots)
         if pivots.isEmpty():
             break
@@ -355,7 +392,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         least = (1 + threshold) * F.least("shared", "pivot.shared") >= (threshold - 1e-6) * (F.col("weight") + F.col("pivot.weight"))
         # A pair meets in the first band that it shares; there too its members are compared before the rounds end.
         first = F.array_position(F.zip_with("bands", "pivot.bands", lambda a, b: a == b), True) == F.col("band") + 1
-        pairs = now.join(pivots, "bucket").where((F.col("node") != F.col("pivot.node")) & least & ((F.col("label") != F.col("pivot.label")) if labels is not None else F.lit(True)) & first)
+        meets = (F.col("node") != F.col("pivot.node")) & least & first
+        if labels is not None:
+            meets = (F.col("label") != F.col("pivot.label")) & meets & F.arrays_overlap(leading("", threshold), leading("pivot.", threshold))
+        pairs = now.join(pivots, "bucket").where(meets)
         pairs = pairs.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
