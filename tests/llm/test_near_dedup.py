@@ -103,6 +103,43 @@ def test_group_just_below_the_threshold(spark, monkeypatch):
     assert sum(compared) < 5 * len(texts)
 
 
+def test_group_that_shares_its_rarest_shingles(spark, monkeypatch):
+    """Copies of a text that isn't among them, of two edits each: their rarest common shingles are the same, yet few pairs are compared, rounds are few, and those of one edit are one class."""
+    words, rng, texts = prose(8, 200).split(), np.random.default_rng(8), []
+    for i in range(90):
+        own = list(words)
+        for k, at in enumerate(5 + 10 * rng.choice(19, 2, replace=False)):
+            own[at] = f"edit{i}x{k}"
+        texts += [" ".join(own)] + ([" ".join([*own, "end"])] if i % 9 == 0 else [])
+    compared, real = [], near_dedup.settle
+
+    def counting(df):
+        kept = real(df)
+        if "similarity" in kept.columns:
+            compared.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(near_dedup, "settle", counting)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in classes(docs).collect()}
+    want = partition(brute(texts))
+    assert partition([got[i] for i in range(len(texts))]) == want and 50 < len(want) < 95
+    assert sum(compared) < 10 * len(texts) and len(compared) <= 3
+
+
+def test_groups_bound_what_is_shared():
+    """Whatever two texts share weighs no more than the sum of the lesser weights of their groups."""
+    rng = np.random.default_rng(4)
+    pool = np.sort(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))
+    bags = [(pool[np.sort(rng.choice(3000, n, replace=False))], rng.random(n).astype(np.float32) + 1) for n in (1, 40, 600, 2000)]
+    edges = np.cumsum([0, *(len(v) for v, _ in bags)])
+    sums = near_dedup.grouped(np.concatenate([v for v, _ in bags]), np.concatenate([w for _, w in bags]), edges)
+    for (a, (v, w)), (b, (x, y)) in combinations(enumerate(bags), 2):
+        _, i, j = np.intersect1d(v, x, return_indices=True)
+        assert np.minimum(w[i], y[j]).sum() <= np.minimum(sums[a], sums[b]).sum() * (1 + 1e-5)
+        assert np.allclose(sums[a].sum(), w.sum(), rtol=1e-5)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 120), (101, 120), (101, 140)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

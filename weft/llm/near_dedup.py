@@ -10,15 +10,15 @@ shingles (those in two documents or more) weigh less than the threshold's part
 of it can't have a partner and draws no samples; and a band's bucket is never
 expanded into pairs. There, every member is compared with one pivot, the one
 that meets most others, as the original of a group of copies does. Members that
-this leaves outside the pivot's class become pivots in the next rounds, PIVOTS
-times as many in each, until none is left. Pairs of one class need no
-comparison, nor do pairs whose shared shingles weigh too little for the
-threshold, however they overlap; all other members of a bucket are compared.
-From the second round on, where the copies of a large group that are just below
-the threshold to each other would all be compared, a pair must also share one of
-the rarest shingles of both: with the shingles of either in one order, rarest
-first, a pair at the threshold has the first common one before more than what
-it may lack has gone by (prefix filtering). No link is lost by it.
+this leaves outside the pivot's class become pivots in the next rounds, FIRST in
+a bucket and then MORE times as many in each, until none is left; a round reads
+only the buckets that have some. Pairs of one class need no comparison, nor do
+pairs whose shared shingles weigh too little for the threshold, however they
+overlap; all other members of a bucket are compared. From the second round on,
+where the copies of a large group that are just below the threshold to each
+other would all be compared, the shingles' weights in GROUPS groups by their
+hashes tell more: what two texts share weighs no more than the lesser of their
+weights in each group, summed. No link is lost by it.
 """
 
 from __future__ import annotations
@@ -40,7 +40,10 @@ WORDS = 5
 THRESHOLD = 0.8
 #: A pair at the threshold shares no band with a chance of (1 - 0.8 ** 3) ** 14 = 4e-5.
 BANDS, ROWS = 14, 3
-PIVOTS = 4
+#: Pivots of a bucket in the second round, and times as many in each round after it.
+FIRST, MORE = 8, 64
+#: Groups of shingles in the bound on what two texts share.
+GROUPS = 64
 #: Pairs to an Arrow batch, as two texts' shingles may be long.
 PAIRS = 256
 #: Bytes of a shingle's fingerprint in the comparison of two texts.
@@ -219,26 +222,18 @@ def _text(data: pa.Table) -> pa.Array:
     return data.column("text").combine_chunks() if data.num_rows else pa.array([], pa.string())
 
 
-#: What rounding may add to a text's weight before a shingle, as a part of it.
+#: What rounding may take from a sum of weights, as a part of it.
 SLACK = 1e-4
 
 
-def rarest(value: np.ndarray, weight: np.ndarray, documents: np.ndarray, edges: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each text the shingles of two documents or more that a partner at the threshold may be the first to share, rarest first, as 32 bits of their hashes, and the weight of the text's shingles before each.
-
-    Before it goes by no more than a text may lack, at most 1 - THRESHOLD of it.
-    Shingles as rare as each other are in the order of their hashes, so that the
-    order is the same in all texts.
-    """
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        order = np.lexsort((value[a:b], documents[a:b]))
-        heavy = weight[a:b][order].astype(np.float64)
-        before = np.cumsum(heavy) - heavy
-        keep = (before <= (1 - THRESHOLD + SLACK) * heavy.sum()) & (documents[a:b][order] > 1)
-        yield (value[a:b][order][keep] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), before[keep].astype(np.float32)
+def grouped(value: np.ndarray, weight: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """(texts, GROUPS): the weight of each text's shingles in the groups that their hashes fall into."""
+    text = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    at = text * GROUPS + (value % np.uint64(GROUPS)).astype(np.int64)
+    return np.bincount(at, weight, (len(edges) - 1) * GROUPS).astype(np.float32).reshape(-1, GROUPS)
 
 
-NODES = "rid long, alike binary, weight double, shared double, prints binary, weights binary, bands array<long>, rare array<int>, before array<float>"
+NODES = "rid long, alike binary, weight double, shared double, prints binary, weights binary, bands array<long>, groups array<float>"
 
 
 def _nodes(layout: Layout):
@@ -260,7 +255,7 @@ def _nodes(layout: Layout):
         chosen = np.zeros(rows, bool)
         chosen[np.unique(alike, return_index=True)[1]] = True
         chosen &= shared >= (THRESHOLD - 1e-6) * total
-        blobs = {name: [None] * rows for name in ("prints", "weights", "bands", "rare", "before")}
+        blobs = {name: [None] * rows for name in ("prints", "weights", "bands", "groups")}
         for a, b in ranges(edges):
             which = np.flatnonzero(chosen[a:b]) + a
             if not len(which):
@@ -270,14 +265,13 @@ def _nodes(layout: Layout):
             at = np.concatenate([[0], np.cumsum(sizes[which])])
             keys = bands(some, heavy, at)
             prints = (some >> np.uint64(64 - 8 * PRINT)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PRINT]
-            for row, (rare, before) in zip(which, rarest(some, heavy, documents[edges[a] : edges[b]][keep], at), strict=True):
-                blobs["rare"][row], blobs["before"][row] = rare, before
+            groups = grouped(some, np.where(documents[edges[a] : edges[b]][keep] > 1, heavy, 0), at)
             for i, row in enumerate(which):
                 first, after = at[i], at[i + 1]
-                blobs["prints"][row], blobs["weights"][row], blobs["bands"][row] = prints[first:after].tobytes(), heavy[first:after].tobytes(), keys[i].view(np.int64)
+                blobs["prints"][row], blobs["weights"][row], blobs["bands"][row], blobs["groups"][row] = prints[first:after].tobytes(), heavy[first:after].tobytes(), keys[i].view(np.int64), groups[i]
         columns = {"rid": data.column("rid"), "alike": pa.array([x.tobytes() for x in alike], pa.binary()), "weight": pa.array(total), "shared": pa.array(shared)}
         columns |= {"prints": pa.array(blobs["prints"], pa.binary()), "weights": pa.array(blobs["weights"], pa.binary()), "bands": pa.array(blobs["bands"], pa.list_(pa.int64()))}
-        columns |= {"rare": pa.array(blobs["rare"], pa.list_(pa.int32())), "before": pa.array(blobs["before"], pa.list_(pa.float32()))}
+        columns |= {"groups": pa.array(blobs["groups"], pa.list_(pa.float32()))}
         return pa.table(columns)
 
     return run
@@ -302,14 +296,23 @@ def _compare(batches):
     trim()
 
 
+#: Rows up to which a settled frame of an iteration is broadcast, so that what it is joined with isn't shuffled in every round.
+FEW = 50_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """The settled frame, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component of links (a, b). Each round takes the least label around and then that node's label, so long chains halve."""
     edges = settle(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
     labels = settle(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
-        around = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        nearer = labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = nearer.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        around = edges.join(few(labels).select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        nearer = settle(few(labels).join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")))
+        jump = few(nearer).select(F.col("node").alias("label"), F.col("label").alias("further"))
         nearer = settle(nearer.join(jump, "label", "left").select("node", "old", F.least("label", "further").alias("label")))
         labels = nearer.select("node", "label")
         if nearer.where(F.col("old") != F.col("label")).isEmpty():
@@ -320,22 +323,31 @@ def merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """Labels (node, label) after more links (a, b): only links between different classes are followed."""
     if labels is None:
         return components(links)
-    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+    known = few(labels)
+    of = lambda side: known.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
     between = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
     between = settle(between.where("a <> b").distinct())
     if between.isEmpty():
         return labels
     moved = settle(components(between).select(F.col("node").alias("label"), F.col("label").alias("to")))
-    known = labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    fresh = moved.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("to").alias("label"))
-    return settle(known.union(fresh))
+    fresh = moved.join(known.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("to").alias("label"))
+    return settle(labels.join(few(moved), "label", "left").select("node", F.coalesce("to", "label").alias("label")).union(fresh))
+
+
+def common() -> Column:
+    """The most that a member and its pivot may share: in each group of shingles, the lesser of their weights."""
+    return F.aggregate(F.zip_with("groups", "pivot.groups", lambda a, b: F.least(a, b)), F.lit(0.0), lambda total, x: total + x)
 
 
-def leading(of: str, threshold: float) -> Column:
-    """Of a member's or its pivot's rarest shingles those that may be the first that the two share: before them goes by no more than that one may lack."""
-    weight, both = F.col(f"{of}weight"), F.col("weight") + F.col("pivot.weight")
-    lack = weight - (threshold / (1 + threshold) - SLACK) * both
-    return F.slice(f"{of}rare", F.lit(1), F.size(F.filter(f"{of}before", lambda x: x <= lack)))
+def compared(pairs: DataFrame, shingled: DataFrame) -> DataFrame:
+    """Settled pairs (a, b) with their similarity. Where they are few, only the shingles of their texts are shuffled."""
+    side = lambda of, held: held.select(F.col("node").alias(of), F.col("prints").alias(f"{of}_prints"), F.col("weights").alias(f"{of}_weights"))
+    first = few(pairs)
+    if pairs.count() <= FEW:
+        shingled = shingled.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("node"))), "node", "left_semi")
+    full = side("b", shingled).join(first, "b").join(side("a", shingled), "a").select("a", "b", "a_prints", "a_weights", "b_prints", "b_weights")
+    with setting(pairs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(PAIRS)):
+        return settle(full.mapInArrow(_compare, "a long, b long, similarity double"))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -360,7 +372,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # Copies by words are one node, named by the least rid among those with samples.
     named = nodes.where(F.col("bands").isNotNull()).groupBy("alike").agg(F.min("rid").alias("node"))
     nodes_of = named.withColumnRenamed("node", "rid")
-    samples = cut(nodes.join(nodes_of, ["alike", "rid"], "left_semi").select(F.col("rid").alias("node"), "weight", "shared", "prints", "weights", "bands", "rare", "before"))
+    samples = cut(nodes.join(nodes_of, ["alike", "rid"], "left_semi").select(F.col("rid").alias("node"), "weight", "shared", "prints", "weights", "bands", "groups"))
     members = samples.select("node", "weight", "shared", "bands", F.posexplode("bands").alias("band", "key")).select("node", "weight", "shared", "bands", "band", F.xxhash64("band", "key").alias("bucket"))
     full = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = settle(members.join(full, "bucket"))
@@ -368,42 +380,36 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = settle(members.drop("n").join(meets, "node"))
     tidy(docs.sparkSession)
 
-    rare = samples.select("node", "rare", "before")
-    shingled = samples.select("node", "prints", "weights")
-    side = lambda of: shingled.select(F.col("node").alias(of), F.col("prints").alias(f"{of}_prints"), F.col("weights").alias(f"{of}_weights"))
-    spark, labels, done, compared, most = docs.sparkSession, None, None, None, 1
+    groups, shingled = samples.select("node", "groups"), samples.select("node", "prints", "weights")
+    spark, labels, most = docs.sparkSession, None, 1
+    # The shared shingles of the one that has less of them are the most that the two have in common.
+    enough = (threshold - SLACK) * (F.col("weight") + F.col("pivot.weight"))
+    least = (1 + threshold) * F.least("shared", "pivot.shared") >= enough
+    # A pair meets in the first band that it shares; there too its members are compared before the rounds end.
+    first = F.array_position(F.zip_with("bands", "pivot.bands", lambda a, b: a == b), True) == F.col("band") + 1
     while True:
         if labels is None:
-            pivots = members.groupBy("bucket").agg(F.min(F.struct("order", "node", "weight", "shared", "bands", F.col("node").alias("label"))).alias("pivot"))
-            now = members.withColumn("label", F.col("node"))
+            now, meets = members, (F.col("node") != F.col("pivot.node")) & least & first
+            pivots = settle(members.groupBy("bucket").agg(F.min(F.struct("order", "node", "weight", "shared", "bands")).alias("pivot")))
+            live = members.withColumn("done", F.lit(False))
         else:
-            now = members.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-            heads = now.groupBy("bucket").agg(F.min(F.struct("order", "node", "label")).alias("head"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket", F.col("head.label").alias("main"))
-            now = now.join(heads, "bucket")
-            most *= PIVOTS
-            waiting = now.where("label <> main").join(done, ["bucket", "node"], "left_anti").withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("order", "node")))
-            # The rarest shingles are fetched for the open buckets alone.
-            now = now.join(rare, "node")
-            pivots = waiting.where(F.col("rank") <= most).join(rare, "node").select("bucket", F.struct("order", "node", "weight", "shared", "bands", "label", "rare", "before").alias("pivot"))
-        pivots = settle(pivots)
+            now = live.join(few(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+            heads = now.groupBy("bucket").agg(F.min(F.struct("order", "node", "label")).alias("head"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+            now = now.join(heads.select("bucket", F.col("head.node").alias("head"), F.col("head.label").alias("main")), "bucket")
+            # The groups' weights are fetched once, for the open buckets alone.
+            now = settle(now if "groups" in now.columns else now.join(groups, "node"))
+            # A bucket's first pivot, its head, and the later ones have been compared with all that they meet.
+            meets = (F.col("label") != F.col("pivot.label")) & ~F.col("done") & (F.col("node") != F.col("head")) & least & first & ((1 + threshold) * common() >= enough)
+            most = FIRST if most == 1 else most * MORE
+            waiting = now.where("label <> main and not done").withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("order", "node")))
+            pivots = settle(waiting.where(F.col("rank") <= most).select("bucket", F.struct("node", "weight", "shared", "bands", "label", "groups").alias("pivot")))
+            # A bucket without a pivot has none later, as classes only grow.
+            seen = few(pivots.select("bucket", F.col("pivot.node").alias("node"), F.lit(True).alias("seen")))
+            live = now.drop("label", "head", "main").join(seen.select("bucket"), "bucket", "left_semi").join(seen, ["bucket", "node"], "left").withColumn("done", F.col("done") | F.col("seen").isNotNull()).drop("seen")
         if pivots.isEmpty():
             break
-        # The shared shingles of the one that has less of them are the most that the two have in common.
-        least = (1 + threshold) * F.least("shared", "pivot.shared") >= (threshold - 1e-6) * (F.col("weight") + F.col("pivot.weight"))
-        # A pair meets in the first band that it shares; there too its members are compared before the rounds end.
-        first = F.array_position(F.zip_with("bands", "pivot.bands", lambda a, b: a == b), True) == F.col("band") + 1
-        meets = (F.col("node") != F.col("pivot.node")) & least & first
-        if labels is not None:
-            meets = (F.col("label") != F.col("pivot.label")) & meets & F.arrays_overlap(leading("", threshold), leading("pivot.", threshold))
-        pairs = now.join(pivots, "bucket").where(meets)
-        pairs = pairs.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        seen = pivots.select("bucket", F.col("pivot.node").alias("node"))
-        done = settle(seen if done is None else done.union(seen))
-        with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(PAIRS)):
-            result = settle(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_prints", "a_weights", "b_prints", "b_weights").mapInArrow(_compare, "a long, b long, similarity double"))
-        compared = result.select("a", "b") if compared is None else compared.union(result.select("a", "b"))
+        pairs = now.join(few(pivots), "bucket").where(meets)
+        result = compared(settle(pairs.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()), shingled)
         labels = merge(labels, result.where(F.col("similarity") >= threshold - 1e-9))
         tidy(spark)
     if labels is None:
