@@ -123,6 +123,48 @@ def test_long_intervals_take_few_nodes(spark, monkeypatch):
     assert got.count() == 6000 and got.distinct().count() == 6000
 
 
+def sent(df):
+    """The frame's rows, and how many each exchange of its plan has written."""
+    rows, todo, found = sorted(map(tuple, df.collect())), [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName().startswith("Exchange"):
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+    return rows, found
+
+
+def test_intervals_are_shuffled_once(spark):
+    """Each side by one exchange, with at most one more row for two, whatever part of the axis the intervals are as long as; pairs once, in cells cut in parts too."""
+    with setting(spark, "spark.sql.adaptive.enabled", "false"), setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        for length in (0, 30, 3000):
+            rng = random.Random(length)
+            rows = [(i, a, a + rng.randrange(length + 1)) for i in range(3000) for a in [rng.randrange(300_000)]]
+            one, two = (spark.createDataFrame(rows[k::2], f"{name} int, a long, b long") for k, name in enumerate("ij"))
+            got, written = sent(overlaps(one, two, "a", "b"))
+            assert got == sorted((i, j) for i, a, b in rows[0::2] for j, c, d in rows[1::2] if a <= d and c <= b)
+            assert len(written) == 2 and 3000 <= sum(written) <= 4500
+
+
+def test_guests_of_both_sides_stay_apart(spark):
+    """Intervals over most of the axis: a pair of guests would meet in each leaf that both reach into."""
+    rows = [(i, i, i + 2000) for i in range(800)]
+    one, two = (spark.createDataFrame(rows[k::2], f"{name} int, a long, b long") for k, name in enumerate("ij"))
+    with setting(spark, "spark.sql.adaptive.enabled", "false"), setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        got, written = sent(overlaps(one, two, "a", "b"))
+        assert got == [(i, j) for i in range(0, 800, 2) for j in range(1, 800, 2)]
+        assert len(written) == 2 and sum(written) <= 800 * 66
+
+
+@pytest.mark.parametrize("kind", ["double", "date", "timestamp", "timestamp_ntz", "decimal(9,2)"])
+def test_overlaps_of_other_kinds(spark, kind):
+    rng = random.Random(9)
+    rows = [(i, a, a + rng.randrange(40)) for i in range(120) for a in [rng.randrange(-500, 500)]]
+    value = {"double": "x / 7D", "date": "date_add(DATE'1970-01-01', x)", "decimal(9,2)": "x / 4"}.get(kind, "timestamp_seconds(x)")
+    one, two = (spark.createDataFrame(rows[k::2], f"{name} int, x int, y int").selectExpr(name, f"CAST({value} AS {kind}) AS a", f"CAST({value.replace('x', 'y')} AS {kind}) AS b") for k, name in enumerate("ij"))
+    assert sorted(map(tuple, overlaps(one, two, "a", "b").collect())) == sorted((i, j) for i, a, b in rows[0::2] for j, c, d in rows[1::2] if a <= d and c <= b)
+
+
 def test_reached_with_circles(spark, monkeypatch):
     monkeypatch.setattr(recursion, "MERGED", 3)
     edges = [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 5), (5, 6), (6, 7), (7, 3), (1, 2), (9, 10), (None, 11), (5, None)] + [(3, 100 + i) for i in range(50)]
